@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import quality, secrets, sharding, tokens
+from weftgraph.llm import quality, secrets, sharding, simhash, substring, tokens
 from weftgraph.llm.common import table
 
 
@@ -37,11 +37,22 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(tokens.TOKENIZER))
 
 
+def _substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_passages(table(spark, sf_dir, "documents"), with_text=False).withColumnRenamed("kept", "kept_sha256")
+
+
+def _simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": _quality,
     "op3_secret_scans": _secrets,
     "op4_sharding": _sharding,
     "op5_token_counts": _tokens,
+    "op6_substring_dedup": _substring,
+    "op8_simhash": _simhash,
 }
 
 ORACLES: dict[str, str] = {}
