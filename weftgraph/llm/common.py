@@ -32,6 +32,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
 
+def window_hashes(ws: Column, width: int) -> Column:
+    """Hashes of all runs of ``width`` words, in order; none for fewer words."""
+    columns = [ws, *[F.slice(ws, F.lit(j + 1), F.size(ws)) for j in range(1, width)]]
+    n = F.greatest(F.size(ws) - (width - 1), F.lit(0))
+    return F.transform(F.slice(F.arrays_zip(*columns), F.lit(1), n), lambda x: F.xxhash64(x))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, marked for broadcast only if it has at most so many rows; else joins shuffle it.
+
+    ``df`` should be staged, as its rows are counted.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, v: a + v)
 

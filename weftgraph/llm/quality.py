@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import BLANK_CHARS, let, total, words
+from weftgraph.llm.common import BLANK_CHARS, let, total, window_hashes, words
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
@@ -39,8 +39,6 @@ def repeat_words(ws: Column) -> Column:
     """
     none = F.lit(0).cast("bigint")
     n_windows = F.size(ws) - (WINDOW - 1)
-    columns = [ws, *[F.slice(ws, F.lit(j + 1), F.size(ws)) for j in range(1, WINDOW)]]
-    hashes = F.transform(F.slice(F.arrays_zip(*columns), F.lit(1), n_windows), lambda x: F.xxhash64(x))
 
     def covered(hs: Column) -> Column:
         pairs = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("g"), i.alias("p"))))
@@ -55,7 +53,7 @@ def repeat_words(ws: Column) -> Column:
             lambda ps: total(F.transform(ps, lambda p, k: F.least(width, F.coalesce((F.get(ps, k + 1) - p).cast("bigint"), width)))),
         )
 
-    found = let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) < F.size(hs), covered(hs)).otherwise(none))
+    found = let(window_hashes(ws, WINDOW), lambda hs: F.when(F.size(F.array_distinct(hs)) < F.size(hs), covered(hs)).otherwise(none))
     return F.when(n_windows >= 2, found).otherwise(none)
 
 

@@ -111,5 +111,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return fps.join(of, "fp").select(key, "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+    """The documents that name their component, once each, with all columns.
+
+    Rows without a key cannot name one and stay.
+    """
+    named = near_duplicates(docs.select(key, text), key, text, width).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key"), "fp")
+    keep = stage(named.groupBy("__key").agg(F.min("fp").alias("__fp"))).select("__key")
+    kept = docs.where(F.col(key).isNotNull()).join(keep, docs[key] == F.col("__key"), "left_semi")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.col(text))))
+    one = kept.withColumn("__n", first).where("__n = 1").drop("__n")
+    return one.unionByName(docs.where(F.col(key).isNull()))
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
