@@ -34,9 +34,13 @@ def words(text: Column) -> Column:
 
 def window_hashes(ws: Column, width: int) -> Column:
     """Hashes of all runs of ``width`` words, in order; none for fewer words."""
-    columns = [ws, *[F.slice(ws, F.lit(j + 1), F.size(ws)) for j in range(1, width)]]
-    n = F.greatest(F.size(ws) - (width - 1), F.lit(0))
-    return F.transform(F.slice(F.arrays_zip(*columns), F.lit(1), n), lambda x: F.xxhash64(x))
+
+    def hashed(w: Column) -> Column:
+        columns = [w, *[F.slice(w, F.lit(j + 1), F.size(w)) for j in range(1, width)]]
+        n = F.greatest(F.size(w) - (width - 1), F.lit(0))
+        return F.transform(F.slice(F.arrays_zip(*columns), F.lit(1), n), lambda x: F.xxhash64(x))
+
+    return let(ws, hashed)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -33,9 +33,13 @@ def words(text: Column) -> Column:
 
 def shingles(ws: Column) -> Column:
     """Distinct shingles as text."""
-    n = F.size(ws) - (WIDTH - 1)
-    spelled = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(ws, i, WIDTH), " "))
-    return F.when(n >= 1, F.array_distinct(spelled)).otherwise(F.array().cast("array<string>"))
+
+    def spelled(w: Column) -> Column:
+        n = F.size(w) - (WIDTH - 1)
+        each = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(w, i, WIDTH), " "))
+        return F.when(n >= 1, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    return let(ws, spelled)
 
 
 def needed(q: Column, containment: float) -> Column:
