@@ -148,7 +148,7 @@ def test_pipeline(spark):
     good, near, clean, mix, out = ({r["doc_id"]: r for r in s.collect()} for s in stages)
     passed = {r["doc_id"] for r in quality.apply_policy(quality.ledger(docs)).where("kept").collect()}
     assert set(good) == passed
-    comp = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(stages[0]).collect()}
+    comp = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(stages[0], distance=simhash.WIDE_DISTANCE, blocks=simhash.WIDE_BLOCKS).collect()}
     assert set(near) == set(comp.values())
     leaked = {k for k, *_ in brute_contained([(k, r["text"]) for k, r in near.items()], [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])}
     assert set(clean) == set(near) - leaked

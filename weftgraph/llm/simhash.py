@@ -10,6 +10,10 @@ through midpoints instead: two fingerprints differ in at most two bits exactly i
 most one bit from either, so each emits the 65 values within one bit of it, and equal values
 link. That finds the same links in linear space.
 
+``deduplicate`` links at up to five bits by eight blocks, of which three must agree, to reach near
+copies of a similarity of 0.8. Beyond two bits a large bucket has no such midpoints; its members
+are compared with a leader that each of the up to 56 buckets of a fingerprint draws anew.
+
 Defined cases: a null text or one without words has fingerprint zero and is linked like any other;
 one or two words are one shingle; texts are read whole; repeated rows each get a row; a null id is
 never a component's name unless no other is there; an empty table gives an empty result; columns
@@ -31,7 +35,9 @@ from weftgraph.llm.common import stage
 from weftgraph.llm.components import components
 
 SEED = 42
-BLOCKS, BLOCK_BITS, DISTANCE = 4, 16, 2
+BITS, BLOCKS, DISTANCE = 64, 4, 2
+#: Blocks and distance of ``deduplicate``.
+WIDE_BLOCKS, WIDE_DISTANCE = 8, 5
 #: Fingerprints in a bucket up to which its pairs are joined.
 BUCKET = 64
 _STEP = 1 << 15
@@ -69,40 +75,50 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     return narrow.mapInArrow(run, f"k {narrow.schema['k'].dataType.simpleString()}, fp bigint").withColumnRenamed("k", key)
 
 
-def _block(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-
-
-def _keys(fp: Column) -> Column:
+def _keys(fp: Column, blocks: int, distance: int) -> Column:
     """A key for each choice of blocks that must agree."""
-    chosen = combinations(range(BLOCKS), BLOCKS - DISTANCE)
-    return F.array(*[
-        F.shiftleft(_block(fp, i), BLOCK_BITS).bitwiseOR(_block(fp, j)).bitwiseOR(F.lit(n << (2 * BLOCK_BITS))) for n, (i, j) in enumerate(chosen)
-    ])
+    width = BITS // blocks
+    block = lambda i: F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit((1 << width) - 1))
+    keys = []
+    for n, chosen in enumerate(combinations(range(blocks), blocks - distance)):
+        key = F.lit(n).cast("bigint")
+        for i in chosen:
+            key = F.shiftleft(key, width).bitwiseOR(block(i))
+        keys.append(key)
+    return F.array(*keys)
 
 
-def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) that connect all of the distinct ``fp`` that differ in at most two bits."""
-    keyed = distinct.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def links(distinct: DataFrame, bucket: int = BUCKET, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """Links (a, b) between distinct ``fp`` that differ in at most ``distance`` bits.
+
+    Up to two bits, they connect all that any such link connects.
+    """
+    differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    keyed = distinct.select("fp", F.explode(_keys(F.col("fp"), blocks, distance)).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("fp", "key"), "fp"))["fp"].alias("leader")).where("n > 1")
     met = stage(keyed.join(sizes, "key"))
     cold = met.where(F.col("n") <= bucket).select("fp", "key")
     a, b = cold.withColumnRenamed("fp", "a"), cold.withColumnRenamed("fp", "b")
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b")
-
-    hot = met.where(F.col("n") > bucket).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("bigint"), *[F.lit(x if x < 1 << 63 else x - (1 << 64)).cast("bigint") for x in (1 << i for i in range(64))])
-    near = hot.select("fp", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp")))).alias("mid"))
+    found = a.join(b, "key").where((F.col("a") < F.col("b")) & (differ <= distance)).select("a", "b")
+
+    hot = met.where(F.col("n") > bucket)
+    if distance > 2:
+        led = hot.select(F.col("fp").alias("a"), F.col("leader").alias("b")).distinct()
+        found = found.union(led.where((F.col("a") != F.col("b")) & (differ <= distance)))
+    flips = F.array(F.lit(0).cast("bigint"), *[F.lit(x if x < 1 << 63 else x - (1 << 64)).cast("bigint") for x in (1 << i for i in range(BITS))])
+    near = hot.select("fp").distinct().select("fp", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp")))).alias("mid"))
     # at most 65 fingerprints are within one bit of a value, so these groups are small
     stars = near.select("fp", F.min("fp").over(Window.partitionBy("mid")).alias("b")).where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return pairs.union(stars).distinct()
+    return found.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bucket: int = BUCKET, distance: int = DISTANCE, blocks: int = BLOCKS
+) -> DataFrame:
     """(key, ``fp``, ``component_id``) of each document; the component is named by its least key."""
     fps = stage(fingerprints(docs, key, text, width))
     distinct = stage(fps.groupBy("fp").agg(F.min(key).alias("least")))
-    found = components(links(distinct, bucket))
+    found = components(links(distinct, bucket, distance, blocks))
     named = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     # only fingerprints with links need the minimum of their component
     linked = named.where(F.col("label") != F.col("fp")).select("label").distinct()
@@ -111,12 +127,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return fps.join(of, "fp").select(key, "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+def deduplicate(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bucket: int = BUCKET, distance: int = WIDE_DISTANCE, blocks: int = WIDE_BLOCKS
+) -> DataFrame:
     """The documents that name their component, once each, with all columns.
 
     Rows without a key cannot name one and stay.
     """
-    named = near_duplicates(docs.select(key, text), key, text, width).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key"), "fp")
+    named = near_duplicates(docs.select(key, text), key, text, width, bucket, distance, blocks).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key"), "fp")
     keep = stage(named.groupBy("__key").agg(F.min("fp").alias("__fp"))).select("__key")
     kept = docs.where(F.col(key).isNotNull()).join(keep, docs[key] == F.col("__key"), "left_semi")
     first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.col(text))))
