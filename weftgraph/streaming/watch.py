@@ -28,7 +28,8 @@ def debounce(events: DataFrame, gap: str = "3 seconds", late: str | None = "1 mi
     """
     if events.isStreaming:
         e = events.withWatermark("ts", late or "0 seconds")
-        by = [F.session_window("ts", gap)] + ([F.col(key)] if key else [])
+        # a stream's sessions need a key, and a literal would be folded away
+        by = [F.session_window("ts", gap), F.col(key) if key else (F.year("ts") * 0).alias("__all")]
         out = e.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
         return out.select(*([key] if key else []), F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
     by = [F.session_window("ts", gap)] + ([F.col(key)] if key else [])
