@@ -159,13 +159,13 @@ def betweenness(graph: Graph, pivots: int = 100, exact_up_to: int = 1000, most_e
     """(id, betweenness): Brandes from each pivot, sources spread over tasks; all nodes up to ``exact_up_to``.
 
     Pivots are those of least hash. The adjacency is broadcast, which its size allows up to
-    ``most_edges``; larger graphs are refused.
+    ``most_edges`` edges and as many nodes; larger graphs are refused.
     """
     spark: SparkSession = graph.nodes.sparkSession
     p = neighbours(graph.edges)
     m, n = p.count(), graph.nodes.count()
-    if m > 2 * most_edges:
-        raise ValueError("too many edges for a broadcast adjacency")
+    if m > 2 * most_edges or n > most_edges:
+        raise ValueError("too large for a broadcast adjacency")
     ids = [r[0] for r in graph.nodes.select("id").orderBy("id").collect()]
     at = {x: i for i, x in enumerate(ids)}
     near: list[list[int]] = [[] for _ in ids]

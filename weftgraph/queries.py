@@ -82,7 +82,7 @@ _SURPRISE = """, d AS (SELECT n.*, degree FROM nodes n JOIN degrees USING (id)),
 query("surprise_score", _SURPRISE)(lambda g: A.surprises(g, None))
 query("surprising_connections", _SURPRISE + " ORDER BY score DESC, src, dst, relation LIMIT 5")(A.surprises)
 query("learn_scores", """, e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), o AS (SELECT src AS id, count(*) c FROM e GROUP BY 1), i AS (SELECT dst AS id, count(*) c FROM e GROUP BY 1)
-    SELECT id, coalesce(i.c, 0) AS fan_in, coalesce(o.c, 0) AS fan_out, degree, round(2 * coalesce(i.c, 0) + 0.5 * degree + 0.3 * coalesce(o.c, 0), 6) AS score FROM degrees LEFT JOIN o USING (id) LEFT JOIN i USING (id)""")(A.learn_scores)
+    SELECT id, coalesce(i.c, 0) AS fan_in, coalesce(o.c, 0) AS fan_out, degree, round(2 * coalesce(i.c, 0) + 0.5 * degree + 0.3 * coalesce(o.c, 0), 6)::DOUBLE AS score FROM degrees LEFT JOIN o USING (id) LEFT JOIN i USING (id)""")(A.learn_scores)
 query("edge_rank_callflow", """SELECT src, dst, relation, round(confidence_score + CASE confidence WHEN 'EXTRACTED' THEN 2 ELSE 0 END
     + CASE WHEN relation IN ('calls', 'uses', 'method') THEN 1 WHEN relation IN ('imports', 'imports_from') THEN 0.6 WHEN relation = 'contains' THEN -0.2 ELSE 0 END, 6)::DOUBLE AS rank_score,
     confidence = 'EXTRACTED' OR (confidence = 'INFERRED' AND confidence_score >= 0.85) AS included FROM edges""")(A.ranked_edges)
@@ -263,7 +263,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.similarity_to(e, goal).select("id", F.round("sim", 6).alias("sim"), "tier_weight")
 
 
-@query("token_budget_cut", "SELECT * FROM (SELECT conv_id AS doc, turn AS ord, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations) WHERE used <= 600", graph=False)
+@query("token_budget_cut", "SELECT * FROM (SELECT conv_id AS doc, turn AS ord, (sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS used FROM conversations) WHERE used <= 600", graph=False)
 def _budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("ord"), F.col("text").alias("line"))
     return R.cut_to_budget(lines, 200).select("doc", "ord", "used")
