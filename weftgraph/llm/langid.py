@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftgraph.session import prepare
+
 #: Labelled rows of a language that the fit reads at most.
 ROWS_A_LANG = 800
 DIMS = 4096
@@ -141,6 +143,7 @@ def held_out(key: Column) -> Column:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_a_lang: int = ROWS_A_LANG) -> Model | None:
     """A model from labelled rows that are not held out, at most ``rows_a_lang`` of each language."""
+    prepare(docs.sparkSession)
     usable = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("k").isNotNull() & ~held_out(F.col("k")) & F.col("t").rlike(r"\p{L}")
     )
@@ -162,7 +165,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ``lang_pred``, ``score``) of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

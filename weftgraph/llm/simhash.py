@@ -33,6 +33,7 @@ from pyspark.sql.window import Window
 
 from weftgraph.llm.common import stage
 from weftgraph.llm.components import components
+from weftgraph.session import prepare
 
 SEED = 42
 BITS, BLOCKS, DISTANCE = 64, 4, 2
@@ -71,6 +72,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             fps = [fingerprint(t, width) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["k", "fp"])
 
+    prepare(docs.sparkSession)
     narrow = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     return narrow.mapInArrow(run, f"k {narrow.schema['k'].dataType.simpleString()}, fp bigint").withColumnRenamed("k", key)
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import stage
+from weftgraph.session import prepare
 
 WINDOW = 50
 RUN = 8
@@ -299,6 +300,7 @@ def _finish(with_text: bool):
 
 def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", shard: int = SHARD, with_text: bool = True) -> DataFrame:
     """(key, n_words, n_removed, kept) of each document: the text that stays, or its SHA-256."""
+    prepare(docs.sparkSession)
     narrow = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("tid"), F.col(text).cast("string").alias("text"))
     cut = spans(narrow, shard).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("start", "n")).alias("cut"))
     return narrow.join(cut, ["doc_id", "tid"], "left").select("doc_id", "text", "cut").mapInArrow(

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.session import prepare
+
 TOKENIZER = "word_bpe_49k.json"
 #: Entries that a worker's cache holds before it starts anew.
 CACHE_ENTRIES = 400_000
@@ -81,7 +83,7 @@ def count_text(text: str, path: str, frequent: dict[str, int]) -> int:
 
 def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = 2048) -> DataFrame:
     """For each document: key, ``n_bytes``, ``n_tokens``, ``over_limit``. ``tokenizer``: path of its file, on every worker."""
-    spark = docs.sparkSession
+    spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(frequent_lengths(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
