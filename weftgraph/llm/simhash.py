@@ -39,6 +39,8 @@ SEED = 42
 BITS, BLOCKS, DISTANCE = 64, 4, 2
 #: Blocks and distance of ``deduplicate``.
 WIDE_BLOCKS, WIDE_DISTANCE = 8, 5
+#: A pair at five bits or less meets in many of the 56 buckets, so those stay smaller.
+WIDE_BUCKET = 16
 #: Fingerprints in a bucket up to which its pairs are joined.
 BUCKET = 64
 _STEP = 1 << 15
@@ -130,7 +132,7 @@ def near_duplicates(
 
 
 def deduplicate(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bucket: int = BUCKET, distance: int = WIDE_DISTANCE, blocks: int = WIDE_BLOCKS
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bucket: int = WIDE_BUCKET, distance: int = WIDE_DISTANCE, blocks: int = WIDE_BLOCKS
 ) -> DataFrame:
     """The documents that name their component, once each, with all columns.
 
