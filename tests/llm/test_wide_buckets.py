@@ -1,0 +1,26 @@
+"""Links of up to five bits in buckets over their bound, against brute force."""
+
+import random
+
+from weftgraph.llm import simhash
+from weftgraph.llm.components import components
+
+
+def test_hot_bucket_keeps_links_of_five_bits(spark):
+    """Pairs that meet in one bucket only, which others far from them fill beyond its bound."""
+    rng = random.Random(11)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    low = rng.getrandbits(24)
+    fps = [rng.getrandbits(40) << 24 | low for _ in range(60)]
+    for x in fps[:20]:  # one bit in each of the five other blocks
+        fps.append(x ^ sum(1 << 24 + 8 * i + rng.randrange(8) for i in range(5)))
+    fps += [fps[0] ^ 1 << 30, fps[0] ^ 3 << 30]
+    near = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 5]
+    assert len(near) >= 20
+    df = spark.createDataFrame([(signed(x),) for x in fps], "fp bigint")
+    for bucket in (simhash.WIDE_BUCKET, 2, 1000):
+        found = simhash.links(df, bucket, 5, 8)
+        assert all((r["a"] ^ r["b"]) % (1 << 64) in {a ^ b for a, b in near} for r in found.collect())
+        label = {r["node"]: r["label"] for r in components(found).collect()}
+        assert all(label.get(signed(a), 0) == label.get(signed(b), 1) for a, b in near)
+        assert len(set(label.values())) == 20

@@ -11,8 +11,9 @@ most one bit from either, so each emits the 65 values within one bit of it, and
 link. That finds the same links in linear space.
 
 ``deduplicate`` links at up to five bits by eight blocks, of which three must agree, to reach near
-copies of a similarity of 0.8. Beyond two bits a large bucket has no such midpoints; its members
-are compared with a leader that each of the up to 56 buckets of a fingerprint draws anew.
+copies of a similarity of 0.8. Beyond two bits a large bucket has no such midpoints; one task holds
+its fingerprints, eight bytes each, and links them breadth first: each is compared with all that no
+link has reached yet, so every component of the bucket gets a spanning tree and none is split.
 
 Defined cases: a null text or one without words has fingerprint zero and is linked like any other;
 one or two words are one shingle; texts are read whole; repeated rows each get a row; a null id is
@@ -39,7 +40,7 @@ SEED = 42
 BITS, BLOCKS, DISTANCE = 64, 4, 2
 #: Blocks and distance of ``deduplicate``.
 WIDE_BLOCKS, WIDE_DISTANCE = 8, 5
-#: A pair at five bits or less meets in many of the 56 buckets, so those stay smaller.
+#: A pair at five bits or less meets in many of the 56 buckets, so pairs are joined in smaller ones only; links do not depend on it.
 WIDE_BUCKET = 16
 #: Fingerprints in a bucket up to which its pairs are joined.
 BUCKET = 64
@@ -92,14 +93,28 @@ def _keys(fp: Column, blocks: int, distance: int) -> Column:
     return F.array(*keys)
 
 
+def spanned(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links (a, b) of at most ``distance`` bits that connect all that any such link among ``fps`` connects."""
+    rest, found = np.sort(np.asarray(fps, np.int64)), []
+    while rest.size:
+        reached, rest = [rest[0]], rest[1:]
+        while reached and rest.size:
+            at = reached.pop()
+            near = np.bitwise_count((rest ^ at).view(np.uint64)) <= distance
+            found += [(int(x), int(at)) for x in rest[near]]
+            reached += list(rest[near])
+            rest = rest[~near]
+    return found
+
+
 def links(distinct: DataFrame, bucket: int = BUCKET, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """Links (a, b) between distinct ``fp`` that differ in at most ``distance`` bits.
 
-    Up to two bits, they connect all that any such link connects.
+    They connect all that any such link connects, whatever ``bucket`` is.
     """
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     keyed = distinct.select("fp", F.explode(_keys(F.col("fp"), blocks, distance)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("fp", "key"), "fp"))["fp"].alias("leader")).where("n > 1")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = stage(keyed.join(sizes, "key"))
     cold = met.where(F.col("n") <= bucket).select("fp", "key")
     a, b = cold.withColumnRenamed("fp", "a"), cold.withColumnRenamed("fp", "b")
@@ -107,8 +122,13 @@ def links(distinct: DataFrame, bucket: int = BUCKET, distance: int = DISTANCE, b
 
     hot = met.where(F.col("n") > bucket)
     if distance > 2:
-        led = hot.select(F.col("fp").alias("a"), F.col("leader").alias("b")).distinct()
-        found = found.union(led.where((F.col("a") != F.col("b")) & (differ <= distance)))
+
+        def tree(t: pa.Table) -> pa.Table:
+            pairs = spanned(t.column("fp").to_numpy(), distance)
+            return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+        prepare(distinct.sparkSession)
+        return found.union(hot.select("key", "fp").groupBy("key").applyInArrow(tree, "a bigint, b bigint")).distinct()
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(x if x < 1 << 63 else x - (1 << 64)).cast("bigint") for x in (1 << i for i in range(BITS))])
     near = hot.select("fp").distinct().select("fp", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp")))).alias("mid"))
     # at most 65 fingerprints are within one bit of a value, so these groups are small
