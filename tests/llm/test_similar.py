@@ -1,0 +1,53 @@
+"""The pipeline's dedup stage against brute force over all pairs."""
+
+import random
+
+import corpus_pipeline
+from weftgraph.llm import similar
+
+
+def test_near_copies_are_those_of_similarity_four_fifths(spark, monkeypatch):
+    """Real documents, copies with edits about the bound, and documents that share most of a template."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rng = random.Random(7)
+    word = lambda: f"q{rng.randrange(10**6)}"
+    at = 10**6
+    for edits in [*range(1, 9)] * 6:  # a similarity from 0.97 to 0.6
+        ws = [word() for _ in range(200)]
+        rows.append((at, " ".join(ws)))
+        for i in rng.sample(range(200), edits):
+            ws[i] = word()
+        rows.append((at + 1, " ".join(ws)))
+        at += 2
+    shared = [word() for _ in range(260)]
+    for _ in range(60):
+        rows.append((at, " ".join(shared + [word() for _ in range(rng.choice((20, 70, 200)))])))
+        at += 1
+    rows += [(at, None), (at + 1, ""), (at + 2, "Ein"), (at + 3, "EIN"), (at + 4, "a b"), (at + 4, "a b")]
+
+    def shingles(t):
+        ws = (t or "").encode().lower().split()
+        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+    sets = {k: shingles(t) for k, t in rows}
+    ks = sorted(sets)
+    parent = {k: k for k in ks}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    linked = []
+    for i, a in enumerate(ks):
+        for b in ks[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                linked.append((a, b))
+                a1, b1 = find(a), find(b)
+                parent[max(a1, b1)] = min(a1, b1)
+    assert len(linked) > 200
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {find(k) for k in ks}
+    monkeypatch.setattr(similar, "FREQUENT", 1)  # the order of shingles does not change the result
+    assert {(r["doc_id"], r["component_id"]) for r in similar.near_copies(df).collect()} == {(k, find(k)) for k in ks}

@@ -10,8 +10,7 @@ through midpoints instead: two fingerprints differ in at most two bits exactly i
 most one bit from either, so each emits the 65 values within one bit of it, and equal values
 link. That finds the same links in linear space.
 
-``deduplicate`` links at up to five bits by eight blocks, of which three must agree, to reach near
-copies of a similarity of 0.8. Beyond two bits a large bucket has no such midpoints; one task holds
+``near_duplicates`` can also link at up to five bits, by eight blocks of which three must agree. Beyond two bits a large bucket has no such midpoints; one task holds
 its fingerprints, eight bytes each, and links them breadth first: each is compared with all that no
 link has reached yet, so every component of the bucket gets a spanning tree and none is split.
 
@@ -38,7 +37,7 @@ from weftgraph.session import prepare
 
 SEED = 42
 BITS, BLOCKS, DISTANCE = 64, 4, 2
-#: Blocks and distance of ``deduplicate``.
+#: Blocks and distance of wider links.
 WIDE_BLOCKS, WIDE_DISTANCE = 8, 5
 #: A pair at five bits or less meets in many of the 56 buckets, so pairs are joined in smaller ones only; links do not depend on it.
 WIDE_BUCKET = 16
@@ -151,20 +150,5 @@ def near_duplicates(
     return fps.join(of, "fp").select(key, "fp", "component_id")
 
 
-def deduplicate(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bucket: int = WIDE_BUCKET, distance: int = WIDE_DISTANCE, blocks: int = WIDE_BLOCKS
-) -> DataFrame:
-    """The documents that name their component, once each, with all columns.
-
-    Rows without a key cannot name one and stay.
-    """
-    named = near_duplicates(docs.select(key, text), key, text, width, bucket, distance, blocks).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key"), "fp")
-    keep = stage(named.groupBy("__key").agg(F.min("fp").alias("__fp"))).select("__key")
-    kept = docs.where(F.col(key).isNotNull()).join(keep, docs[key] == F.col("__key"), "left_semi")
-    first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.col(text))))
-    one = kept.withColumn("__n", first).where("__n = 1").drop("__n")
-    return one.unionByName(docs.where(F.col(key).isNull()))
-
-
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -1,0 +1,200 @@
+"""Near copies by the exact Jaccard similarity of five-word shingles, for the pipeline's dedup stage.
+
+Two texts are linked if their sets of distinct shingles have a similarity of at least 4/5. In any
+common order of all shingles, the first n - ceil(4n/5) + 1 shingles of two such sets of size n share
+one (prefix filter), so no pair is missed. The order puts shingles that a sample of documents found
+frequent last, else by hash; the sample decides the cost, not the result.
+
+Documents that share a prefix shingle form a group. It is cut where a set is over 5/4 as large as
+the next smaller one, as no pair across such a gap can be similar, and groups of the same members
+are kept once. One task reads the full sets of a group, links it breadth first and verifies each
+link, so a group of n near copies gives n - 1 links and not n * n / 2.
+
+Defined cases: words are runs without blanks, ASCII letters in lower case; texts of equal words are
+copies, those without words too; a text under five words is one shingle. Shingles are compared as
+64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from weftgraph.llm.common import small, stage
+from weftgraph.llm.components import components
+from weftgraph.session import prepare
+
+WIDTH, SEED = 5, 42
+#: Documents whose shingles are counted to find frequent ones, and how many of those are kept (8 bytes each).
+SAMPLE, FREQUENT = 4000, 500_000
+#: Members of groups (about 40 bytes each) up to which they are broadcast.
+BROADCAST_ROWS = 200_000
+_POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(WIDTH)]
+_KNOWN: dict[bytes, int] = {}
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingles(ws: list[bytes]) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text's words."""
+    from xxhash import xxh3_64_intdigest
+
+    if not ws:
+        return np.empty(0, np.uint64)
+    if len(_KNOWN) > 500_000:
+        _KNOWN.clear()
+    for w in set(ws):
+        if w not in _KNOWN:
+            _KNOWN[w] = xxh3_64_intdigest(w, SEED)
+    c = np.array([_KNOWN[w] for w in ws], np.uint64)
+    width = min(WIDTH, len(ws))
+    h = np.zeros(len(ws) - width + 1, np.uint64)
+    for j in range(width):
+        h += c[j : j + h.size] * _POWERS[j]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    return np.unique(h)
+
+
+def _prefix(n: int) -> int:
+    """Members of a set of n of which a set with a similarity of 4/5 must hold one."""
+    return n - (4 * n + 4) // 5 + 1 if n else 0
+
+
+def _signature(ws: list[bytes]) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    x = xxh3_64_intdigest(b" ".join(ws), SEED)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def frequent(docs: DataFrame, key: str, text: str) -> np.ndarray:
+    """Sorted hashes of shingles in three or more documents of a sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(_words(t)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["h"])
+
+    every = max(1, docs.count() // SAMPLE)
+    picked = docs.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(F.col(text).cast("string").alias("t"))
+    counts = picked.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
+    return np.sort(top.column("h").to_numpy().view(np.uint64))
+
+
+def prefixes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, ``fp``, n, prefix) of each document; ``fp`` is equal for equal words."""
+    often = docs.sparkSession.sparkContext.broadcast(frequent(docs, key, text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = often.value
+        for b in batches:
+            fps, ns, firsts = [], [], []
+            for t in b.column(1).to_pylist():
+                ws = _words(t)
+                s = shingles(ws)
+                rare = np.searchsorted(late, s, "right") == np.searchsorted(late, s, "left")
+                fps.append(_signature(ws))
+                ns.append(s.size)
+                firsts.append(np.concatenate([s[rare], s[~rare]])[: _prefix(s.size)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["k", "fp", "n", "prefix"])
+
+    narrow = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    return narrow.mapInArrow(run, f"k {narrow.schema['k'].dataType.simpleString()}, fp bigint, n int, prefix array<bigint>").withColumnRenamed("k", key)
+
+
+def groups(distinct: DataFrame) -> DataFrame:
+    """(h, cut, fp): groups of distinct (fp, n, prefix) in which all similar pairs lie."""
+    each = distinct.select("fp", "n", F.explode("prefix").alias("h"))
+    by_size = Window.partitionBy("h").orderBy("n", "fp")
+    gap = F.lag("n").over(by_size) * 5 < F.col("n") * 4
+    shared = each.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("k > 1")
+    cut = stage(shared.withColumn("gap", gap).select("h", "fp", F.sum(F.when(F.col("gap"), 1).otherwise(0)).over(by_size).alias("cut")))
+    members = cut.groupBy("h", "cut").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y")).where("k > 1")
+    once = stage(members.groupBy("k", "x", "y").agg(F.min(F.struct("h", "cut")).alias("g")).select("g.h", "g.cut"))
+    return stage(cut.join(small(once, BROADCAST_ROWS), ["h", "cut"]))
+
+
+def spanned(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (a, b) of similarity 4/5 that connect all that any such link among the sets connects."""
+    n = np.array([s.size for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    stops = np.cumsum(n)
+    own = np.split(flat, stops[:-1])
+    often = np.bincount(flat)
+    holders = np.repeat(np.arange(len(sets)), n)[np.argsort(flat, kind="stable")]
+    ends = np.cumsum(often)
+    left, marked, found = np.ones(len(sets), bool), np.zeros(often.size, bool), []
+    for start in range(len(sets)):
+        reached = [start] if left[start] else []
+        left[start] = False
+        while reached:
+            x = reached.pop()
+            # the prefix in an order of this group, its rarest shingles first
+            first = own[x][np.argsort(often[own[x]], kind="stable")][: _prefix(int(n[x]))]
+            near = np.unique(np.concatenate([holders[ends[i] - often[i] : ends[i]] for i in first]))
+            near = near[left[near] & (5 * n[near] >= 4 * n[x]) & (5 * n[x] >= 4 * n[near])]
+            marked[own[x]] = True
+            for y in near:
+                if 9 * np.count_nonzero(marked[own[y]]) >= 4 * (n[x] + n[y]):
+                    found.append((names[x], names[y]))
+                    left[y] = False
+                    reached.append(y)
+            marked[own[x]] = False
+    return found
+
+
+def links(docs: DataFrame, named: DataFrame, key: str, text: str) -> DataFrame:
+    """Verified links (a, b) between ``fp`` of (key, ``fp``, n, prefix)."""
+    distinct = named.groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(key).alias("least"))
+    distinct = stage(distinct)
+    held = groups(distinct)
+    wanted = stage(held.select("fp").distinct().join(distinct.select("fp", "least"), "fp").select(F.col("least").alias("__k"), "fp"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ws = [_words(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_signature(w) for w in ws], pa.int64()), pa.array([shingles(w).view(np.int64) for w in ws], pa.list_(pa.int64()))], names=["fp", "hs"])
+
+    def tree(t: pa.Table) -> pa.Table:
+        one = dict(zip(t.column("fp").to_pylist(), (x.values.to_numpy() for x in t.column("hs")), strict=True))
+        pairs = spanned(list(one), list(one.values())) if len(one) > 1 else []
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+    # a key may come with several texts, so sets are told apart by fp
+    texts = docs.join(small(wanted.select("__k").distinct(), BROADCAST_ROWS), docs[key] == F.col("__k"), "left_semi").select(F.col(text).cast("string").alias("t"))
+    sets = texts.mapInArrow(run, "fp bigint, hs array<bigint>")
+    return sets.join(small(held, BROADCAST_ROWS), "fp").select("h", "cut", "fp", "hs").groupBy("h", "cut").applyInArrow(tree, "a bigint, b bigint").distinct()
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ``fp``, ``component_id``) of each document with a key; the component is named by its least key."""
+    prepare(docs.sparkSession)
+    docs = docs.where(F.col(key).isNotNull())
+    named = stage(prefixes(docs, key, text))
+    found = components(stage(links(docs, named, key, text)))
+    fps = named.select(key, "fp")
+    labelled = fps.join(found, fps["fp"] == found["node"], "left").select(key, "fp", F.coalesce("label", "fp").alias("label"))
+    least = labelled.groupBy("label").agg(F.min(key).alias("component_id"))
+    return labelled.join(least, "label").select(key, "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that name their component, once each, with all columns.
+
+    Rows without a key cannot name one and stay.
+    """
+    keep = stage(near_copies(docs.select(key, text), key, text).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key")).distinct())
+    kept = docs.where(F.col(key).isNotNull()).join(keep, docs[key] == F.col("__key"), "left_semi")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.col(text))))
+    one = kept.withColumn("__n", first).where("__n = 1").drop("__n")
+    return one.unionByName(docs.where(F.col(key).isNull()))
