@@ -6,9 +6,11 @@ one (prefix filter), so no pair is missed. The order puts shingles that a sample
 frequent last, else by hash; the sample decides the cost, not the result.
 
 Documents that share a prefix shingle form a group. It is cut where a set is over 5/4 as large as
-the next smaller one, as no pair across such a gap can be similar, and groups of the same members
-are kept once. One task reads the full sets of a group, links it breadth first and verifies each
-link, so a group of n near copies gives n - 1 links and not n * n / 2.
+the next smaller one, as no pair across such a gap can be similar. One task reads a group's prefixes
+and cuts it into what pairs may connect: similar sets of size n and m have at most (n + m) / 9
+shingles that are in one only, and prefixes tell some of those. Groups of the same members are kept
+once. One task reads the full sets of such a group, links it breadth first and verifies each link,
+so a group of n near copies gives n - 1 links and not n * n / 2.
 
 Defined cases: words are runs without blanks, ASCII letters in lower case; texts of equal words are
 copies, those without words too; a text under five words is one shingle. Shingles are compared as
@@ -30,8 +32,8 @@ from weftgraph.llm.components import components
 from weftgraph.session import prepare
 
 WIDTH, SEED = 5, 42
-#: Documents whose shingles are counted to find frequent ones, and how many of those are kept (8 bytes each).
-SAMPLE, FREQUENT = 4000, 500_000
+#: Documents whose shingles are counted to find frequent ones, the share of them at least (one in so many), and how many shingles are kept (8 bytes each).
+SAMPLE, SHARE, FREQUENT = 4000, 8, 500_000
 #: Members of groups (about 40 bytes each) up to which they are broadcast.
 BROADCAST_ROWS = 200_000
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(WIDTH)]
@@ -84,7 +86,7 @@ def frequent(docs: DataFrame, key: str, text: str) -> np.ndarray:
             sets = [shingles(_words(t)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["h"])
 
-    every = max(1, docs.count() // SAMPLE)
+    every = min(SHARE, max(1, docs.count() // SAMPLE))
     picked = docs.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(F.col(text).cast("string").alias("t"))
     counts = picked.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
@@ -92,7 +94,10 @@ def frequent(docs: DataFrame, key: str, text: str) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ``fp``, n, prefix) of each document; ``fp`` is equal for equal words."""
+    """(key, ``fp``, n, prefix) of each document; ``fp`` is equal for equal words.
+
+    Hashes in a prefix lose a bit to the sign of rare shingles, so that those come first.
+    """
     often = docs.sparkSession.sparkContext.broadcast(frequent(docs, key, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +110,8 @@ def prefixes(docs: DataFrame, key: str, text: str) -> DataFrame:
                 rare = np.searchsorted(late, s, "right") == np.searchsorted(late, s, "left")
                 fps.append(_signature(ws))
                 ns.append(s.size)
-                firsts.append(np.concatenate([s[rare], s[~rare]])[: _prefix(s.size)].view(np.int64))
+                ordered = (s >> np.uint64(1)) | (rare.astype(np.uint64) << np.uint64(63))
+                firsts.append(np.sort(ordered.view(np.int64))[: _prefix(s.size)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["k", "fp", "n", "prefix"])
 
     narrow = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
@@ -113,15 +119,54 @@ def prefixes(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def groups(distinct: DataFrame) -> DataFrame:
-    """(h, cut, fp): groups of distinct (fp, n, prefix) in which all similar pairs lie."""
+    """(h, cut, part, fp): groups of distinct (fp, n, prefix) in which all similar pairs lie."""
     each = distinct.select("fp", "n", F.explode("prefix").alias("h"))
     by_size = Window.partitionBy("h").orderBy("n", "fp")
     gap = F.lag("n").over(by_size) * 5 < F.col("n") * 4
     shared = each.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("k > 1")
     cut = stage(shared.withColumn("gap", gap).select("h", "fp", F.sum(F.when(F.col("gap"), 1).otherwise(0)).over(by_size).alias("cut")))
-    members = cut.groupBy("h", "cut").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y")).where("k > 1")
-    once = stage(members.groupBy("k", "x", "y").agg(F.min(F.struct("h", "cut")).alias("g")).select("g.h", "g.cut"))
-    return stage(cut.join(small(once, BROADCAST_ROWS), ["h", "cut"]))
+    members = cut.groupBy("h", "cut").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "cut")
+
+    def parts(t: pa.Table) -> pa.Table:
+        fps = t.column("fp").to_numpy()
+        part = possible(t.column("n").to_numpy(), [x.values.to_numpy() for x in t.column("prefix")])
+        many = np.bincount(part)[part] > 1
+        h, c = t.column("h")[0].as_py(), t.column("cut")[0].as_py()
+        k = int(many.sum())
+        return pa.table({"h": pa.array([h] * k, pa.int64()), "cut": pa.array([c] * k, pa.int64()), "part": pa.array(part[many], pa.int64()), "fp": pa.array(fps[many], pa.int64())})
+
+    whole = cut.join(members, ["h", "cut"]).join(distinct.select("fp", "n", "prefix"), "fp").select("h", "cut", "fp", "n", "prefix")
+    held = stage(whole.groupBy("h", "cut").applyInArrow(parts, "h bigint, cut bigint, part bigint, fp bigint"))
+    same = held.groupBy("h", "cut", "part").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y"))
+    once = stage(same.groupBy("k", "x", "y").agg(F.min(F.struct("h", "cut", "part")).alias("g")).select("g.h", "g.cut", "g.part"))
+    return stage(held.join(small(once, BROADCAST_ROWS), ["h", "cut", "part"]))
+
+
+def possible(n: np.ndarray, firsts: list[np.ndarray]) -> np.ndarray:
+    """The part of each set: no similar pair is in two parts, as far as sorted prefixes tell.
+
+    Up to the lesser of two prefixes' last members both sets are known whole, and so is what they
+    do not share there.
+    """
+    size = np.array([f.size for f in firsts])
+    flat, of = np.concatenate(firsts), np.repeat(np.arange(n.size), size)
+    last = np.array([f[-1] for f in firsts])
+    by = np.argsort(flat, kind="stable")
+    flat, of = flat[by], of[by]
+    part = np.full(n.size, -1)
+    for start in range(n.size):
+        reached = [start] if part[start] < 0 else []
+        part[start] = start if part[start] < 0 else part[start]
+        while reached:
+            x = reached.pop()
+            lo, hi = np.searchsorted(flat, firsts[x]), np.searchsorted(flat, firsts[x], "right")
+            both = np.bincount(np.concatenate([of[a:b] for a, b in zip(lo, hi, strict=True)]), minlength=n.size)
+            theirs = np.bincount(of[: np.searchsorted(flat, last[x], "right")], minlength=n.size)
+            apart = np.searchsorted(firsts[x], last, "right") + theirs - 2 * both
+            near = np.flatnonzero((part < 0) & (9 * apart <= n + n[x]) & (5 * n >= 4 * n[x]) & (5 * n[x] >= 4 * n))
+            part[near] = start
+            reached += list(near)
+    return part
 
 
 def spanned(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -173,7 +218,7 @@ def links(docs: DataFrame, named: DataFrame, key: str, text: str) -> DataFrame:
     # a key may come with several texts, so sets are told apart by fp
     texts = docs.join(small(wanted.select("__k").distinct(), BROADCAST_ROWS), docs[key] == F.col("__k"), "left_semi").select(F.col(text).cast("string").alias("t"))
     sets = texts.mapInArrow(run, "fp bigint, hs array<bigint>")
-    return sets.join(small(held, BROADCAST_ROWS), "fp").select("h", "cut", "fp", "hs").groupBy("h", "cut").applyInArrow(tree, "a bigint, b bigint").distinct()
+    return sets.join(small(held, BROADCAST_ROWS), "fp").select("h", "cut", "part", "fp", "hs").groupBy("h", "cut", "part").applyInArrow(tree, "a bigint, b bigint").distinct()
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
