@@ -43,6 +43,14 @@ def window_hashes(ws: Column, width: int) -> Column:
     return let(ws, hashed)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores added until no column of the frames has it."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df``, marked for broadcast only if it has at most so many rows; else joins shuffle it.
 
