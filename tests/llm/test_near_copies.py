@@ -66,32 +66,6 @@ def test_fingerprints_and_components(spark, rows):
         assert {(r[0], r[1], r[2]) for r in got} == {(k, f"{fps[k]:016x}", want[k]) for k in ks}
 
 
-def test_wide_links_reach_near_copies(spark):
-    """Of pairs of a similarity of 0.8 on five words most meet, and nothing under 0.5 does."""
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
-    sets = {}
-    for k, t in rows:
-        ws = words(t.lower())
-        sets[k] = {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
-    sharing = {}
-    for k, s in sets.items():
-        for x in s:
-            sharing.setdefault(x, []).append(k)
-    pairs = {(a, b) for ks in sharing.values() if len(ks) < 200 for i, a in enumerate(ks) for b in ks[i + 1 :]}
-    alike = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    near = simhash.near_duplicates(df, distance=simhash.WIDE_DISTANCE, blocks=simhash.WIDE_BLOCKS)
-    for bucket in (64, 4):
-        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, bucket=bucket, distance=5, blocks=8).collect()} if bucket != 64 else {r["doc_id"]: r["component_id"] for r in near.collect()}
-        want = [(a, b) for a, b in pairs if alike(a, b) >= 0.8]
-        assert sum(got[a] == got[b] for a, b in want) >= 0.8 * len(want)
-        groups = {}
-        for k, c in got.items():
-            groups.setdefault(c, []).append(k)
-        long = [g for g in groups.values() if len(g) > 1 and all(sets[k] for k in g)]
-        assert all(any(alike(a, b) >= 0.5 for b in g if b != a) for g in long for a in g)
-
-
 def test_components_of_chain_and_hub(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}

@@ -145,6 +145,35 @@ def test_sharding(docs):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n))
 
 
+def test_shards_do_not_depend_on_how_files_are_split_later(spark, tmp_path):
+    spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'c' AS p", "'c' AS place").repartition(6).write.parquet(f"{tmp_path}/d")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    was = {n: spark.conf.get(n, None) for n in names}
+    results = []
+    try:
+        for split in (("128m", "4m", "1"), ("4k", "1k", "64"), ("1g", "1k", "1")):
+            for n, v in zip(names, ("128m", "4m", "6"), strict=True):
+                spark.conf.set(n, v)
+            planned = sharding.shard(spark.read.parquet(f"{tmp_path}/d"))
+            for n, v in zip(names, split, strict=True):
+                spark.conf.set(n, v)
+            results.append(sorted(tuple(r) for r in planned.collect()))
+    finally:
+        for n, v in was.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    assert results[0] == results[1] == results[2]
+    assert Counter(r[-2] for r in results[0]) == {i: 2500 for i in range(8)}
+
+
+def test_every_row_is_as_likely_in_every_shard():
+    """The law end to end on the matrix: of 4000 draws, a row of either partition is in shard 0 a third of the time."""
+    hits = np.zeros(2)
+    for seed in range(4000):
+        m = np.array(sharding.communication_matrix([5, 10], 3, seed))
+        hits += m[:, 0] / [5, 10]
+    assert np.allclose(hits / 4000, 1 / 3, atol=0.012)
+
+
 def test_sharding_query(spark):
     got = queries.QUERIES["op4_sharding"](spark, SF).collect()
     text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

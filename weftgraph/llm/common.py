@@ -111,13 +111,37 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; Hadoop deletes it when the driver ends."""
+    folder = f"{shared_dir(spark)}/weftgraph/{spark.sparkContext.applicationId}"
+    if folder not in _owned:
+        _owned.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
+
+
+_owned: set[str] = set()
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     Cuts lineage: later jobs start from files that outlive any executor, and the optimizer knows
-    their size.
+    their size. The files go when the driver ends, or with ``discard``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftgraph/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete the files of a staged table that nothing will read any more."""
+    spark = staged.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged._staged_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

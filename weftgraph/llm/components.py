@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import stage
+from weftgraph.llm.common import discard, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,6 +25,9 @@ def components(links: DataFrame) -> DataFrame:
         jumped = least.join(up, "label").select("node", F.least("label", "above").alias("label"))
         new = stage(jumped)
         old = labels.select("node", F.col("label").alias("was"))
-        if new.join(old, "node").where("label <> was").isEmpty():
+        same = new.join(old, "node").where("label <> was").isEmpty()
+        discard(labels)
+        if same:
+            discard(both)
             return new
         labels = new

@@ -4,7 +4,12 @@ A communication matrix says how many rows each input partition sends to each sha
 drawn one after the other from the multivariate hypergeometric law, which is the law of those
 counts under a uniform permutation of all rows. Each partition is permuted locally, its rows are
 dealt out by its row of the matrix, and each shard is permuted again. Only the counts of partitions
-(a number for each task, as Spark's driver holds anyway) reach the driver.
+(a number for each task, as Spark's driver holds anyway) reach the driver, which draws a number for
+each partition and shard: some 20 microseconds each, so 100,000 partitions and 64 shards take two
+minutes.
+
+Partition and place of a row are written with it, so both passes, any task that runs again, and
+any later reading see the same ones, however files are split then.
 
 Law ``rows``: sizes of shards differ by one at most.
 
@@ -20,9 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.llm.common import stage
+from weftgraph.llm.common import stage, unused
 
 SEED = 20_240_501
+SHARD = "shard"
 #: Rows of a shard that one task permutes in the second step.
 ROWS_A_TASK = 200_000
 #: Matrix rows up to which the matrix is broadcast (8 shards: 64 bytes and overhead a row).
@@ -78,36 +84,34 @@ def _key(seed: int, cols: list[Column]) -> Column:
 def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", seed: int = SEED, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 within the shard).
 
-    The rows are staged first, so that both passes, and any task that runs again, see the same
-    partitions; within a partition the order is by hash and content, never by arrival.
+    Within a partition the order is by hash and content, never by arrival.
     """
-    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     spark = docs.sparkSession
+    own = {c: unused(f"{c}_", docs) for c in ("p", "first", "second", "crc", "place", "until", "block", "n", "s", "c", "before", "k")}
     ident = [F.col(key), F.crc32(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")), F.length(F.col(text).cast("string"))]
-    rows = stage(
-        docs.select(*names, *[x.alias(f"__{i}") for i, x in enumerate([_key(seed, ident), _key(seed + 1, ident), ident[1]])])
-    )
-    # both passes read the same files split the same way
-    dealt = rows.withColumn("__p", F.spark_partition_id())
-    counts = sorted(tuple(r) for r in dealt.groupBy("__p").agg(F.count(F.lit(1))).collect())
+    local = docs.select(*names, F.spark_partition_id().alias(own["p"]), _key(seed, ident).alias(own["first"]), _key(seed + 1, ident).alias(own["second"]), ident[1].alias(own["crc"]))
+    permuted = local.sortWithinPartitions(own["first"], key, own["crc"])
+    rows = stage(permuted.withColumn(own["place"], F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).drop(own["first"]))
+    counts = sorted(tuple(r) for r in rows.groupBy(own["p"]).agg(F.count(F.lit(1))).collect())
     matrix = communication_matrix([n for _, n in counts], shards, seed)
     until = spark.createDataFrame(
-        [(p, [int(x) for x in np.cumsum(row)]) for (p, _), row in zip(counts, matrix, strict=True)], "__p int, __until array<bigint>"
+        [(p, [int(x) for x in np.cumsum(row)]) for (p, _), row in zip(counts, matrix, strict=True)], f"{own['p']} int, {own['until']} array<bigint>"
     )
     if len(counts) <= BROADCAST_ROWS:
         until = F.broadcast(until)
-    local = dealt.sortWithinPartitions("__0", key, "__2").withColumn("__r", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sent = local.join(until, "__p").withColumn("shard", F.size(F.filter("__until", lambda c: c <= F.col("__r"))))
+    sent = rows.join(until, own["p"]).withColumn(SHARD, F.size(F.filter(own["until"], lambda c: c <= F.col(own["place"]))))
 
     n = sum(c for _, c in counts)
     parts = max(1, -(-n // (shards * rows_a_task)))
-    sent = sent.withColumn("__b", F.pmod(F.col("__1"), F.lit(parts)).cast("int")).drop("__p", "__until", "__r", "__0")
-    sizes = sent.groupBy("shard", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    block, second = own["block"], own["second"]
+    sent = sent.withColumn(block, F.pmod(F.col(second), F.lit(parts)).cast("int")).drop(own["p"], own["until"], own["place"])
+    sizes = sent.groupBy(SHARD, block).agg(F.count(F.lit(1)).alias(own["n"]))
     before = sizes.select(
-        F.col("shard").alias("__s"), F.col("__b").alias("__c"),
-        (F.sum("__n").over(Window.partitionBy("shard").orderBy("__b")) - F.col("__n")).alias("__before"),
+        F.col(SHARD).alias(own["s"]), F.col(block).alias(own["c"]),
+        (F.sum(own["n"]).over(Window.partitionBy(SHARD).orderBy(block)) - F.col(own["n"])).alias(own["before"]),
     )
-    place = F.row_number().over(Window.partitionBy("shard", "__b").orderBy("__1", key, "__2")) - 1
-    placed = sent.withColumn("__k", place)
-    joined = placed.join(before, (F.col("shard") == F.col("__s")) & (F.col("__b") == F.col("__c")))
-    return joined.select(*names, F.col("shard").cast("int").alias("shard"), (F.col("__before") + F.col("__k")).cast("bigint").alias("slot"))
+    place = F.row_number().over(Window.partitionBy(SHARD, block).orderBy(second, key, own["crc"])) - 1
+    placed = sent.withColumn(own["k"], place)
+    joined = placed.join(before, (F.col(SHARD) == F.col(own["s"])) & (F.col(block) == F.col(own["c"])))
+    return joined.select(*names, F.col(SHARD).cast("int").alias(SHARD), (F.col(own["before"]) + F.col(own["k"])).cast("bigint").alias("slot"))

@@ -10,9 +10,7 @@ through midpoints instead: two fingerprints differ in at most two bits exactly i
 most one bit from either, so each emits the 65 values within one bit of it, and equal values
 link. That finds the same links in linear space.
 
-``near_duplicates`` can also link at up to five bits, by eight blocks of which three must agree. Beyond two bits a large bucket has no such midpoints; one task holds
-its fingerprints, eight bytes each, and links them breadth first: each is compared with all that no
-link has reached yet, so every component of the bucket gets a spanning tree and none is split.
+Near copies at a similarity of 0.8 are farther apart than two bits; ``near_copies`` finds those.
 
 Defined cases: a null text or one without words has fingerprint zero and is linked like any other;
 one or two words are one shingle; texts are read whole; repeated rows each get a row; a null id is
@@ -37,10 +35,6 @@ from weftgraph.session import prepare
 
 SEED = 42
 BITS, BLOCKS, DISTANCE = 64, 4, 2
-#: Blocks and distance of wider links.
-WIDE_BLOCKS, WIDE_DISTANCE = 8, 5
-#: A pair at five bits or less meets in many of the 56 buckets, so pairs are joined in smaller ones only; links do not depend on it.
-WIDE_BUCKET = 16
 #: Fingerprints in a bucket up to which its pairs are joined.
 BUCKET = 64
 _STEP = 1 << 15
@@ -79,12 +73,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     return narrow.mapInArrow(run, f"k {narrow.schema['k'].dataType.simpleString()}, fp bigint").withColumnRenamed("k", key)
 
 
-def _keys(fp: Column, blocks: int, distance: int) -> Column:
+def _keys(fp: Column) -> Column:
     """A key for each choice of blocks that must agree."""
-    width = BITS // blocks
+    width = BITS // BLOCKS
     block = lambda i: F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit((1 << width) - 1))
     keys = []
-    for n, chosen in enumerate(combinations(range(blocks), blocks - distance)):
+    for n, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - DISTANCE)):
         key = F.lit(n).cast("bigint")
         for i in chosen:
             key = F.shiftleft(key, width).bitwiseOR(block(i))
@@ -92,42 +86,20 @@ def _keys(fp: Column, blocks: int, distance: int) -> Column:
     return F.array(*keys)
 
 
-def spanned(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links (a, b) of at most ``distance`` bits that connect all that any such link among ``fps`` connects."""
-    rest, found = np.sort(np.asarray(fps, np.int64)), []
-    while rest.size:
-        reached, rest = [rest[0]], rest[1:]
-        while reached and rest.size:
-            at = reached.pop()
-            near = np.bitwise_count((rest ^ at).view(np.uint64)) <= distance
-            found += [(int(x), int(at)) for x in rest[near]]
-            reached += list(rest[near])
-            rest = rest[~near]
-    return found
-
-
-def links(distinct: DataFrame, bucket: int = BUCKET, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """Links (a, b) between distinct ``fp`` that differ in at most ``distance`` bits.
+def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) between distinct ``fp`` that differ in at most two bits.
 
     They connect all that any such link connects, whatever ``bucket`` is.
     """
     differ = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    keyed = distinct.select("fp", F.explode(_keys(F.col("fp"), blocks, distance)).alias("key"))
+    keyed = distinct.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = stage(keyed.join(sizes, "key"))
     cold = met.where(F.col("n") <= bucket).select("fp", "key")
     a, b = cold.withColumnRenamed("fp", "a"), cold.withColumnRenamed("fp", "b")
-    found = a.join(b, "key").where((F.col("a") < F.col("b")) & (differ <= distance)).select("a", "b")
+    found = a.join(b, "key").where((F.col("a") < F.col("b")) & (differ <= DISTANCE)).select("a", "b")
 
     hot = met.where(F.col("n") > bucket)
-    if distance > 2:
-
-        def tree(t: pa.Table) -> pa.Table:
-            pairs = spanned(t.column("fp").to_numpy(), distance)
-            return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
-
-        prepare(distinct.sparkSession)
-        return found.union(hot.select("key", "fp").groupBy("key").applyInArrow(tree, "a bigint, b bigint")).distinct()
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(x if x < 1 << 63 else x - (1 << 64)).cast("bigint") for x in (1 << i for i in range(BITS))])
     near = hot.select("fp").distinct().select("fp", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp")))).alias("mid"))
     # at most 65 fingerprints are within one bit of a value, so these groups are small
@@ -135,13 +107,11 @@ def links(distinct: DataFrame, bucket: int = BUCKET, distance: int = DISTANCE, b
     return found.union(stars).distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bucket: int = BUCKET, distance: int = DISTANCE, blocks: int = BLOCKS
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bucket: int = BUCKET) -> DataFrame:
     """(key, ``fp``, ``component_id``) of each document; the component is named by its least key."""
     fps = stage(fingerprints(docs, key, text, width))
     distinct = stage(fps.groupBy("fp").agg(F.min(key).alias("least")))
-    found = components(links(distinct, bucket, distance, blocks))
+    found = components(links(distinct, bucket))
     named = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     # only fingerprints with links need the minimum of their component
     linked = named.where(F.col("label") != F.col("fp")).select("label").distinct()
