@@ -53,6 +53,21 @@ def test_containment(spark):
     assert sorted(map(str, (r["doc_id"] for r in left))) == sorted(str(k) for k, _ in docs if k not in bad)
 
 
+def test_containment_without_broadcast_and_null_ids(spark):
+    """Items over the bound of bytes, null ids, and items of very different sizes."""
+    rng = np.random.default_rng(3)
+    word = lambda: f"v{rng.integers(400)}"
+    items = [(None if j % 5 == 0 else j, " ".join(word() for _ in range(int(rng.integers(5, 90))))) for j in range(25)]
+    docs = [(None if j % 7 == 0 else j, " ".join([word() for _ in range(9)] + items[j % 25][1].split()[j % 3 :] + [word() for _ in range(j)])) for j in range(60)]
+    d = spark.createDataFrame([(*x, "c") for x in docs], "doc_id bigint, text string, key_ string")
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute_contained(docs, items)
+    for bound in (0, 1 << 20):
+        got = {(r["doc_id"], r["item_id"], r["n_shared"], r["n_shingles"]) for r in decontaminate.contained(d, i, bound=bound).collect()}
+        assert got == want and len(got) > 30
+    assert decontaminate.decontaminate(d, i).columns == d.columns
+
+
 def test_containment_of_nothing(spark):
     d, i = spark.createDataFrame([(1, "a b c d e f")], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contained(d, i).count() == 0 and decontaminate.decontaminate(d.limit(0), i).count() == 0
@@ -95,31 +110,98 @@ def test_raking(spark):
     tokens = mixing.token_count(F.col("text"))
     targets = {
         "source": spark.createDataFrame([("s0", 0.5), ("s1", 0.3), ("s2", 0.2)], "value string, share double"),
-        "lang": spark.createDataFrame([("en", 0.6), ("de", 0.3), ("\x00", 0.1)], "value string, share double"),
+        "lang": spark.createDataFrame([("en", 0.6), ("de", 0.3), (None, 0.1)], "value string, share double"),
     }
-    got = mixing.mix(df, dims, tokens, targets, keep=0.4).collect()
+    drawn, at = mixing.mix(df, dims, tokens, targets, keep=0.4)
+    got = [{n: r[at[n]] for n in at} for r in drawn.collect()]
     assert len(got) == len(rows)
     base = defaultdict(float)
     for r in got:
-        base[r["__source"], r["__lang"]] += r["__tokens"]
-    w = {k: v / sum(base.values()) for k, v in base.items()}
-    for _ in range(200):
-        for axis, want in ((0, {"s0": 0.5, "s1": 0.3, "s2": 0.2}), (1, {"en": 0.6, "de": 0.3, "\x00": 0.1})):
-            have = defaultdict(float)
-            for k, v in w.items():
-                have[k[axis]] += v
-            w = {k: v * want[k[axis]] / have[k[axis]] for k, v in w.items()}
+        base[r["source"], r["lang"]] += r["tokens"]
+    w = brute_rake(base, [{"s0": 0.5, "s1": 0.3, "s2": 0.2}, {"en": 0.6, "de": 0.3, None: 0.1}])
     for r in got:
-        k = r["__source"], r["__lang"]
-        assert r["__rate"] == pytest.approx(w[k] * sum(base.values()) / base[k], rel=1e-4)
-    expected = sum(r["__tokens"] * r["__prob"] for r in got)
+        k = r["source"], r["lang"]
+        assert r["rate"] == pytest.approx(w[k] * sum(base.values()) / base[k], rel=1e-4)
+    expected = sum(r["tokens"] * r["prob"] for r in got)
     assert expected == pytest.approx(0.4 * sum(base.values()), rel=1e-6)
-    kept = sum(r["__tokens"] for r in got if r["__kept"])
+    kept = sum(r["tokens"] for r in got if r["kept"])
     assert kept == pytest.approx(expected, rel=0.15)
     assert mixing.mixed(df, dims, tokens).columns == df.columns
     assert mixing.mixed(df.limit(0), dims, tokens).count() == 0
 
 
+def brute_rake(base, targets):
+    w = {k: v / sum(base.values()) for k, v in base.items() if v}
+    for _ in range(300):
+        for axis, want in enumerate(targets):
+            have = defaultdict(float)
+            for k, v in w.items():
+                have[k[axis]] += v
+            w = {k: v * want.get(k[axis], 0) / have[k[axis]] for k, v in w.items()}
+    return w
+
+
+def brute_keywords(texts):
+    """Of the texts of one language."""
+    df, n = defaultdict(int), len(texts)
+    for t in texts:
+        for x in set(re.findall(r"[^\W\d_]{5,}", (t or "").lower())):
+            df[x] += 1
+    weight = lambda k: np.log(n / k)
+    ok = [(x, k) for x, k in df.items() if max(2, 0.02 * n) <= k <= 0.3 * n]
+    return [(x, weight(k)) for x, k in sorted(ok, key=lambda p: (-p[1] * weight(p[1]), p[0]))[: mixing.TOPICS]]
+
+
+def test_mixing_query(spark):
+    """The registered query against plain Python: topics, tempered targets, raking, the scale of the draw."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in QUERIES["op9_mixing"](spark, SF).collect()}
+    words_ = {v: brute_keywords([r["text"] for r in docs if r["lang"] == v]) for v in {r["lang"] for r in docs}}
+    learned = mixing.keywords(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert {v: [w for w, _ in own] for v, own in learned.items()} == {v: [w for w, _ in own] for v, own in words_.items() if own}
+    cell, tokens = {}, {}
+    for r in docs:
+        t = r["text"] or ""
+        low = t.lower()
+        hits = [len(re.findall(rf"(?<![^\W\d_]){re.escape(w)}(?![^\W\d_])", low)) * idf for w, idf in words_[r["lang"]]]
+        cell[r["doc_id"]] = (r["source"], r["lang"], f"k{hits.index(max(hits)) + 1}" if max(hits, default=0) else None)
+        tokens[r["doc_id"]] = len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    assert all(got[k]["n_tokens"] == tokens[k] and got[k]["topic"] == cell[k][2] for k in got) and len(got) == len(docs)
+    base = defaultdict(float)
+    for k, c in cell.items():
+        base[c] += tokens[k]
+    targets = []
+    for axis in range(3):
+        own = defaultdict(float)
+        for c, v in base.items():
+            own[c[axis]] += v
+        powered = {v: x**mixing.TEMPER for v, x in own.items() if x}
+        targets.append({v: x / sum(powered.values()) for v, x in powered.items()})
+    w, n = brute_rake(base, targets), sum(base.values())
+    rate = {c: w.get(c, 0) * n / base[c] if base[c] else 0.0 for c in base}
+    lo, hi = 0.0, 1e9
+    for _ in range(200):  # the factor by bisection
+        c = (lo + hi) / 2
+        lo, hi = (c, hi) if sum(v * min(1, c * rate[k]) for k, v in base.items()) < mixing.KEEP * n else (lo, c)
+    for k, r in got.items():
+        assert r["weight"] == pytest.approx(rate[cell[k]], abs=2e-4) and r["prob"] == pytest.approx(min(1, lo * rate[cell[k]]), abs=5e-4)
+
+
+def test_mixing_names_and_impossible_targets(spark):
+    kind = "doc_id bigint, text string, lang string, rate_ int, tokens_ int, prob_ int, kept_ int, dim_0 string, value_ string, w string"
+    df = spark.createDataFrame([(i, "w " * (i + 1), "en" if i % 2 else None, *[0] * 4, *"abc") for i in range(20)] + [(None, None, None, *[0] * 4, *"abc")], kind)
+    dims, tokens = {"lang": F.col("lang")}, mixing.token_count(F.col("text"))
+    drawn, at = mixing.mix(df, dims, tokens)
+    assert set(df.columns) < set(drawn.columns) and len(drawn.collect()) == 21 and not set(at.values()) & set(df.columns)
+    assert mixing.mixed(df, dims, tokens).columns == df.columns
+    never = {d: spark.createDataFrame([("en", x), (None, 1 - x)], "value string, share double") for d, x in (("a", 0.2), ("b", 0.7))}
+    both = {"a": F.col("lang"), "b": F.col("lang")}
+    with pytest.warns(UserWarning, match="off by"):
+        mixing.mix(df, both, tokens, never, rounds=2)
+    with pytest.raises(ValueError, match="off by"):
+        mixing.mix(df, both, tokens, never, rounds=1, strict=True)
+
+
 def test_urls(spark):
     day = lambda m, d: dt.date(2024, m, d)
     entries = [
@@ -164,7 +246,7 @@ def test_pipeline(spark):
     assert set(near) == {find(k) for k in five}
     leaked = {k for k, *_ in brute_contained([(k, r["text"]) for k, r in near.items()], [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])}
     assert set(clean) == set(near) - leaked
-    drawn = {r["doc_id"] for r in mixing.mix(stages[2], mixing_dims(), mixing.token_count(F.col("text"))).where("__kept").collect()}
+    drawn = {r["doc_id"] for r in mixing.mixed(stages[2], mixing_dims(stages[2]), mixing.token_count(F.col("text"))).collect()}
     assert set(mix) == drawn and set(out) == set(mix)
     assert all(out[k]["text"] == mix[k]["text"] for k in out)
     run = corpus_pipeline.run(spark, SF)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.llm import quality, queries, secrets, sharding, tokens
 
@@ -61,8 +62,6 @@ def test_policies_and_ablation(docs):
 
 
 def test_quality_agrees_with_labels(spark):
-    from pyspark.sql import functions as F
-
     got_base = lambda bits: bits.bitwiseAND(F.lit(quality.policy_mask("base"))) != 0
     d = "/root/testdata/sf0.01"
     led = quality.apply_policy(quality.ledger(spark.read.parquet(f"{d}/documents.parquet")))
@@ -108,11 +107,27 @@ def test_ownership(spark):
     got = {r["doc_id"]: r for r in secrets.classify(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
     assert all(got[i]["n_example"] == 1 and got[i]["n_live"] == 0 for i in range(8))
     assert got[100]["n_live"] == 1 and got[101]["n_live"] == 0
+    assert "abcdefghijklmnop" not in str(got) and "k" * 20 not in str(got)
 
 
-def test_prefix_sums(spark):
-    from pyspark.sql import functions as F
+def test_null_owners_are_one_owner_and_not_a_question_mark(spark):
+    key = "token = " + "k" * 20
+    rows = [(1, key, None), (2, key, None), (3, key, "?")]
+    of = lambda rs: {r["n_example"] for r in secrets.classify(spark.createDataFrame(rs, "doc_id bigint, text string, source string"), example_owners=2).collect()}
+    assert of(rows) == {1} and of(rows[:2]) == {0}
+
+
+def test_vendor_spans(spark):
+    rx = re.compile(secrets.KINDS[3][1])
+    texts = ["ghp_" + "a" * 36 + " xoxb-1234567890-ab", "x" * 5 + "eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + "." + "c" * 10, "ghp_" + "a" * 35, "\U0001f600 ghs_" + "Z9" * 20 + "ghp_" + "b" * 40]
+    got = secrets.digest(secrets.classify(spark.createDataFrame(list(enumerate(texts)) + [(9, None)], "doc_id bigint, text string").withColumn("source", F.lit("s")))).collect()
+    for r in got:
+        if r["doc_id"] < len(texts):
+            want = [f"vendor:{m.start()}:{m.end()}" for m in rx.finditer(texts[r["doc_id"]])]
+            assert [x for x in r["spans"].split(",") if x.startswith("vendor")] == want
+
 
+def test_prefix_sums(spark):
     from weftgraph.llm.common import prefix_sums
 
     xs = [list(range(n)) for n in (0, 1, 255, 256, 257, 1000)]
@@ -192,20 +207,31 @@ def test_token_counts(docs):
     assert sorted(repr(tuple(r)) for r in got) == sorted(want)
 
 
-def test_pretoken_classes():
-    import unicodedata
+def test_tokens_over_all_of_unicode():
+    """Random texts of many scripts, marks and signs, by the library and by the two tiers."""
+    import random
+
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path(tokens.TOKENIZER)
+    whole, library, rng = tokens.Whole.of(path), tokens._tokenizer(path), random.Random(5)
+    blocks = [(0x20, 0x7F), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x590), (0x590, 0x780), (0x900, 0xE00), (0x1100, 0x1200), (0x1E00, 0x2100), (0x2000, 0x2C00), (0x3000, 0x3400), (0x4E00, 0x5200), (0xAC00, 0xAD00), (0xF900, 0xFFFF), (0x1F300, 0x1F700)]
+    texts = ["".join(chr(rng.randrange(*rng.choice(blocks[:4] if rng.random() < 0.5 else blocks))) if rng.random() > 0.15 else rng.choice(" \n'\t") for _ in range(rng.randrange(1, 60))) for _ in range(4000)]
+    texts += ["Σας ΑΣ İstanbul İ̙", "“quoted” — €5 Ωμέγα 中文字 हिन्दी", "a\x1cb\x85c\xa0d", "<|endoftext|> hi", "<|end"]
+    frequent = tokens.lengths(["the", "ωμέγα", "5"], path)
+    for t in texts:
+        assert tokens.count_text(t, path, frequent, whole) == len(library.encode(t, add_special_tokens=False).ids), t
+    assert sum(not whole(t) for t in texts) > 1500 and not whole("“x” — €5 Ωμέγα 中文字 हिन्दी")
+
 
-    for c in map(chr, range(0x250)):
-        kind = unicodedata.category(c)
-        found = tokens._PRETOKEN.findall(c)
-        assert found == ([] if c in "\t\n\x0b\x0c\r \x85\xa0" else [c]), (c, found)
-        if kind[0] == "L":
-            assert tokens._PRETOKEN.findall("a" + c) == ["a" + c]
-        elif kind[0] == "N":
-            assert tokens._PRETOKEN.findall("1" + c) == ["1", c]
+def test_frequent_pretokens_are_those_of_the_texts(spark):
+    df = spark.createDataFrame([(i, "alpha alpha beta's " + "gamma " * (i % 3)) for i in range(30)] + [(None, None)], "doc_id bigint, text string")
+    assert tokens.frequent_pretokens(df, "doc_id", "text", 4) == ["alpha", "'s", "beta", "gamma"]
+    assert tokens.frequent_pretokens(df.limit(0), "doc_id", "text") == []
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string, source string")
     assert quality.ledger(df).count() == 0 and quality.ablation(quality.ledger(df)).count() == 0
     assert secrets.classify(df).count() == 0 and sharding.shard(df).count() == 0
+    P = pytest.importorskip("public_tokenizers")
+    assert tokens.token_counts(df, P.path(tokens.TOKENIZER)).count() == 0

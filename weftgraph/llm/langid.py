@@ -4,12 +4,15 @@ A linear support vector machine first tells language families apart, then one-ve
 separate the languages within the predicted family; votes decide, margins break ties. Features are
 hashed character runs of one to three letters of the whole text.
 
-The machines are fitted on a bounded sample: at most ``ROWS_A_LANG`` labelled rows of each
-language, those with the least hash of their id. Prediction reads every row and only its text.
+The machines are fitted on a bounded sample: at most ``ROWS_A_LANG`` labelled rows of each of the
+``LANGS`` most frequent languages, those with the least hash of their id. Rows are chosen by hash,
+without their texts; only the texts of those chosen are read again. Prediction reads every row and
+only its text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so is every text
 if nothing was learned; with one language learned all other texts get it with score 1; repeated
-rows get equal predictions; an empty table gives an empty result.
+rows get equal predictions and are learned once; of equally frequent languages the least names are
+learned; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftgraph.llm.common import stage
 from weftgraph.session import prepare
 
 #: Labelled rows of a language that the fit reads at most.
 ROWS_A_LANG = 800
+#: Languages that are learned at most.
+LANGS = 64
+#: Parts in which a language's rows are cut down before they meet.
+PARTS = 64
 DIMS = 4096
 _CHUNK = 1 << 20
 
@@ -141,14 +149,23 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_a_lang: int = ROWS_A_LANG) -> Model | None:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_a_lang: int = ROWS_A_LANG, langs: int = LANGS) -> Model | None:
     """A model from labelled rows that are not held out, at most ``rows_a_lang`` of each language."""
     prepare(docs.sparkSession)
     usable = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("k").isNotNull() & ~held_out(F.col("k")) & F.col("t").rlike(r"\p{L}")
     )
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k", F.xxhash64("t")))
-    sample = usable.withColumn("r", first).where(F.col("r") <= rows_a_lang).select("k", "lang", "t")
+    known = usable.select("k", "lang", F.xxhash64("k").alias("h"), F.xxhash64("t").alias("u"))
+    narrow = stage(known)
+    most = narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(langs).select("lang")
+    order = ("h", "k", "u")
+    in_part = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy(*order))
+    cut = narrow.join(F.broadcast(most), "lang").withColumn("r", in_part).where(F.col("r") <= rows_a_lang)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    chosen = stage(cut.withColumn("r", first).where(F.col("r") <= rows_a_lang).select("k", "lang", "u"))
+    same = (usable["k"] == chosen["k"]) & (usable["lang"] == chosen["lang"]) & (F.xxhash64(usable["t"]) == chosen["u"])
+    # langs * rows_a_lang rows of two numbers and a name at most
+    sample = usable.join(F.broadcast(chosen), same, "left_semi").select("k", "lang", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,8 +176,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     rows = sample.mapInArrow(run, f"k {kind}, lang string, x binary").collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["lang"], r["k"], bytes(r["x"])))
-    return Model(np.array([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32), [r["lang"] for r in rows])
+    rows = sorted({(r["lang"], r["k"], bytes(r["x"])) for r in rows})
+    return Model(np.array([np.frombuffer(x, np.float16) for _, _, x in rows]).astype(np.float32), [v for v, _, _ in rows])
 
 
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:

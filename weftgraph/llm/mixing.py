@@ -3,21 +3,33 @@
 Tokens are summed by cell (one combination of source, language and topic). Raking scales the cells
 to each set of target marginals in turn until all hold, and documents are then drawn with
 probabilities in proportion to their cell's weight a token. Only cells are iterated on; documents
-are read twice, once for the sums and once to be drawn.
-
-Defined cases: a null dimension is a value of its own; null or empty texts have no tokens and
-follow their cell; the draw of a row depends on its key, its text and the seed only, so repeated
-rows are drawn alike; targets of values that no document has are ignored; an empty table gives an
-empty result; columns pass through, and columns of the cell's names do not clash.
+are read once for the sums and once to be drawn, and twice before that to learn topics.
+
+Topics come from words that the corpus itself tells. In each language, words of middling document
+frequency are counted over all its documents, and the most informative are its keywords, in order. A
+document's topic is the place of the keyword that marks it most (its count times its inverse
+document frequency). As a place and not a word, a topic can occur in every language: topics that
+imply a language would set targets against each other that no weights can meet.
+
+Defined cases: a null dimension is a value of its own, apart from every other; null or empty texts
+have no tokens and no topic and follow their cell; the draw of a row depends on its key, its text
+and the seed only, so repeated rows are drawn alike; targets of values that no document has are
+ignored; targets that cannot hold together are met as far as the rounds go, with a warning, or an
+error if ``strict``; an empty table gives an empty result; columns pass through, and those of the
+input never clash with the five that ``mix`` adds, which take free names.
 """
 
 from __future__ import annotations
 
+import re
+import warnings
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.llm.common import small, stage
+from weftgraph.llm.common import discard, let, small, stage, unused
 
 SEED = 20_240_601
 #: Target marginals are the corpus's own shares to this power: below 1, large shares shrink.
@@ -25,9 +37,11 @@ TEMPER = 0.7
 #: Tokens to keep, as a share of all.
 KEEP = 0.8
 ROUNDS, TOLERANCE = 40, 1e-6
-#: Raking rounds in one plan, between two writes.
-UNROLL = 2
 BROADCAST_ROWS = 100_000
+#: Topics and languages that have them, least letters of a keyword, and the shares of its language's documents between which its frequency lies.
+TOPICS, LANGS, LETTERS, RARE, COMMON = 12, 64, 5, 0.02, 0.3
+#: Classes of words that are counted first, so that only words of frequent classes are counted one by one.
+CLASSES = 1 << 16
 
 
 def token_count(text: Column) -> Column:
@@ -35,64 +49,134 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
-def topic(text: Column) -> Column:
-    """A coarse genre of a text, from its form: table, note, article or essay."""
-    t = F.coalesce(text, F.lit(""))
-    return (
-        F.when(F.regexp_count(t, F.lit(r"\|")) * 50 > F.length(t), "table").when(F.length(t) < 600, "note")
-        .when(F.length(t) < 6000, "article").otherwise("essay")
-    )
+def _found(text: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(rf"\p{{L}}{{{LETTERS},}}"), F.lit(0)))
 
 
-def _cells(docs: DataFrame, dims: dict[str, Column], tokens: Column) -> DataFrame:
-    """Token sums by cell; a null value is the empty string with a mark."""
-    named = [F.coalesce(c.cast("string"), F.lit("\x00")).alias(f"__{d}") for d, c in dims.items()]
-    return docs.select(*named, tokens.alias("__tokens")).groupBy(*[f"__{d}" for d in dims]).agg(F.sum("__tokens").alias("__tokens"))
+def keywords(docs: DataFrame, text: str = "text", lang: str = "lang", topics: int = TOPICS, langs: int = LANGS) -> dict[str | None, list[tuple[str, float]]]:
+    """(word, inverse document frequency) of each language's topics, by frequency times its inverse over all its documents.
+
+    At most ``topics`` words of the ``langs`` most frequent languages. A word cannot be in more
+    documents than its class of words is, so words of rare classes are never counted one by one: what
+    is shuffled are numbers of classes, and a bounded set of words.
+    """
+    of_class = lambda w: F.pmod(F.xxhash64(w), F.lit(CLASSES)).cast("int")
+    own = docs.select(F.col(lang).cast("string").alias("l"), _found(text).alias("ws"))
+    most = docs.groupBy(F.col(lang).cast("string").alias("m")).agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), F.asc_nulls_first("m")).limit(langs)
+    sizes = F.broadcast(stage(most.withColumn("least", F.greatest(F.lit(2.0), F.col("docs") * RARE))))
+    classes = own.select("l", F.explode(F.array_distinct(F.transform("ws", of_class))).alias("c")).groupBy("l", "c").agg(F.count(F.lit(1)).alias("n"))
+    often = stage(classes.join(sizes, F.col("l").eqNullSafe(F.col("m"))).where("n >= least").select("m", "c"))
+    same_class = F.col("l").eqNullSafe(F.col("m")) & (F.col("k") == F.col("c"))
+    words = own.select("l", F.explode("ws").alias("w")).withColumn("k", of_class(F.col("w")))
+    counts = words.join(small(often, BROADCAST_ROWS), same_class).groupBy("l", "w").agg(F.count(F.lit(1)).alias("n"))
+    ranged = counts.join(sizes, F.col("l").eqNullSafe(F.col("m"))).where((F.col("n") >= F.col("least")) & (F.col("n") <= COMMON * F.col("docs")))
+    told = ranged.withColumn("idf", F.log(F.col("docs") / F.col("n"))).withColumn("score", F.col("n") * F.col("idf"))
+    nth = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("score"), "w"))
+    out: dict[str | None, list[tuple[str, float]]] = {}
+    for r in told.withColumn("nth", nth).where(F.col("nth") <= topics).orderBy("l", "nth").collect():  # topics * langs rows at most
+        out.setdefault(r["l"], []).append((r["w"], r["idf"]))
+    return out
+
+
+def _topic(text: Column, words: list[tuple[str, float]]) -> Column:
+    any_of = "|".join(re.escape(w) for w, _ in sorted(words, key=lambda x: -len(x[0])))
+    hits = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<!\p{{L}})(?:{any_of})(?!\p{{L}})"), F.lit(0))
+
+    def best(found: Column) -> Column:
+        count = lambda w: F.size(F.filter(found, lambda h: h == w))
+        each = [F.struct((count(w) * F.lit(idf)).alias("s"), F.lit(-i).alias("i")) for i, (w, idf) in enumerate(words)]
+        return F.when(F.size(found) > 0, F.concat(F.lit("k"), (1 - F.array_max(F.array(*each))["i"]).cast("string")))
+
+    return let(hits, best)
+
+
+def topic(text: Column, lang: Column, words: dict[str | None, list[tuple[str, float]]]) -> Column:
+    """``k1`` to ``kn``: the place of the keyword that marks a text most, of several the first; null if it has none."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, own in words.items():
+        out = out.when(lang.cast("string").eqNullSafe(F.lit(name).cast("string")), _topic(text, own))
+    return out
+
+
+def same(a: list[Column], b: list[Column]) -> Column:
+    """Equality of several columns, null being a value like others."""
+    out = F.lit(True)
+    for x, y in zip(a, b, strict=True):
+        out = out & x.eqNullSafe(y)
+    return out
 
 
 def tempered_targets(cells: DataFrame, dim: str, power: float = TEMPER) -> DataFrame:
-    """(value, share) of one dimension: its own shares to a power, scaled to 1."""
-    own = cells.groupBy(F.col(f"__{dim}").alias("value")).agg(F.sum("__tokens").alias("n")).where("n > 0")
+    """(value, share) of one dimension of cells (dimensions, tokens): its own shares to a power, scaled to 1."""
+    own = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("tokens").alias("n")).where("n > 0")
     powered = own.select("value", F.pow(F.col("n").cast("double"), F.lit(power)).alias("w"))
     whole = powered.agg(F.sum("w")).first()[0] or 1.0
     return powered.select("value", (F.col("w") / F.lit(whole)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` with ``__w``: shares of tokens whose marginals are the targets."""
-    dims = list(targets)
-    fitted = cells.where("__tokens > 0").withColumn("__w", F.col("__tokens").cast("double"))
-    for d, t in targets.items():
-        fitted = fitted.join(t.select(F.col("value").alias(f"__{d}"), F.col("share").alias(f"__to_{d}")), f"__{d}", "left")
-        fitted = fitted.withColumn(f"__to_{d}", F.coalesce(f"__to_{d}", F.lit(0.0)))
-    fitted = stage(fitted)
-    over = {d: Window.partitionBy(f"__{d}") for d in dims}
-    for _ in range(0, rounds, UNROLL):
-        for _ in range(UNROLL):
-            for d in dims:
-                have = F.sum("__w").over(over[d])
-                fitted = fitted.withColumn("__w", F.when(have > 0, F.col("__w") * F.col(f"__to_{d}") / have).otherwise(0.0))
-        fitted = stage(fitted)
+@dataclass(frozen=True)
+class Raked:
+    """Cells with weight ``w``, the largest difference between a marginal and its target, and the rounds it took."""
+
+    cells: DataFrame
+    off: float
+    rounds: int
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Raked:
+    """Cells (dimensions, tokens) with ``w``: shares of tokens whose marginals are the targets.
+
+    A cell's weight is its tokens times a factor for each of its values, and only the factors change:
+    a step sums a dimension's marginal over the cells, before anything moves, and writes that
+    dimension's factors anew. No task holds all cells of a value.
+    """
+    own = cells.where("tokens > 0")
+    own = stage(own.coalesce(1) if cells.count() <= BROADCAST_ROWS else own)
+    factors: dict[str, DataFrame] = {}
+    for i, (d, t) in enumerate(targets.items()):
+        goal = t.select(F.col("value").alias(f"v{i}"), F.col("share").alias(f"to{i}"))
+        values = own.select(F.col(d).alias("x")).distinct().join(goal, F.col("x").eqNullSafe(F.col(f"v{i}")), "left")
+        factors[d] = stage(values.select(F.col("x").alias(f"v{i}"), F.coalesce(f"to{i}", F.lit(0.0)).alias(f"to{i}"), F.lit(1.0).alias(f"f{i}"), F.lit(0.0).alias("off")))
+
+    few = {d: f.count() <= BROADCAST_ROWS for d, f in factors.items()}
+
+    def weighed() -> DataFrame:
+        out = own.withColumn("w", F.col("tokens").cast("double"))
+        for i, d in enumerate(factors):
+            f = factors[d].drop("off")
+            f = F.broadcast(f) if few[d] else f
+            out = out.join(f, F.col(d).eqNullSafe(F.col(f"v{i}"))).withColumn("w", F.col("w") * F.col(f"f{i}")).drop(f"f{i}")
+        return out
+
+    off, took = 0.0, 0
+    whole = own.agg(F.sum("tokens")).first()[0] or 1
+    for took in range(1, rounds + 1):
         off = 0.0
-        for d in dims:
-            got = fitted.groupBy(f"__{d}").agg(F.sum("__w").alias("have"), F.first(f"__to_{d}").alias("want"))
-            off = max(off, got.agg(F.max(F.abs(F.col("have") - F.col("want")))).first()[0] or 0.0)
+        for i, d in enumerate(targets):
+            have = weighed().groupBy(f"v{i}").agg((F.sum("w") / whole).alias("have"))
+            was, both = factors[d], F.col(f"v{i}").eqNullSafe(F.col("v"))
+            met = was.drop("off").join(have.withColumnRenamed(f"v{i}", "v"), both, "left")
+            changed = F.when(F.col("have") > 0, F.col(f"f{i}") * F.col(f"to{i}") / F.col("have")).otherwise(0.0)
+            new = met.select(f"v{i}", f"to{i}", changed.alias(f"f{i}"), F.abs(F.coalesce("have", F.lit(0.0)) - F.col(f"to{i}")).alias("off"))
+            factors[d] = stage(new.coalesce(1))
+            off = max(off, factors[d].agg(F.max("off")).first()[0] or 0.0)
+            discard(was)
         if off <= tolerance:
             break
-    return fitted
+    return Raked(weighed().select(*cells.columns, (F.col("w") / whole).alias("w")), off, took)
 
 
-def _scale(cells: DataFrame, keep: float) -> float:
-    """The factor c for which the sum of tokens * min(1, c * rate) is ``keep`` of all tokens.
+def scale(cells: DataFrame, keep: float) -> float:
+    """The factor c for which the sum of tokens * min(1, c * rate) over cells (tokens, rate) is ``keep`` of all tokens.
 
     A few passes over the cells: those that a factor takes whole are set aside and the rest is
     solved for again.
     """
-    everything = cells.agg(F.sum("__tokens")).first()[0] or 0
+    everything = cells.agg(F.sum("tokens")).first()[0] or 0
     c, goal = 0.0, keep * everything
     while True:
-        whole = F.col("__rate") * c >= 1
-        taken, rest = cells.agg(F.sum(F.when(whole, F.col("__tokens"))), F.sum(F.when(~whole, F.col("__tokens") * F.col("__rate")))).first()
+        whole = F.col("rate") * c >= 1
+        taken, rest = cells.agg(F.sum(F.when(whole, F.col("tokens"))), F.sum(F.when(~whole, F.col("tokens") * F.col("rate")))).first()
         if not rest:
             return c
         new = (goal - (taken or 0)) / rest
@@ -103,22 +187,36 @@ def _scale(cells: DataFrame, keep: float) -> float:
 
 def mix(
     docs: DataFrame, dims: dict[str, Column], tokens: Column, targets: dict[str, DataFrame] | None = None,
-    keep: float = KEEP, seed: int = SEED, key: str = "doc_id", text: str = "text",
-) -> DataFrame:
-    """``docs`` with ``__tokens``, ``__rate`` (weight a token, 1 on average), ``__prob`` and ``__kept``."""
-    cells = stage(_cells(docs, dims, tokens))
-    fitted = rake(cells, targets or {d: tempered_targets(cells, d) for d in dims})
-    everything = fitted.agg(F.sum("__tokens"), F.sum("__w")).first()
-    n, w = (everything[0] or 1, everything[1] or 1.0)
-    rated = stage(fitted.select(*[f"__{d}" for d in dims], "__tokens", (F.col("__w") / w * n / F.col("__tokens")).alias("__rate")))
-    c = _scale(rated, keep)
-    named = {f"__{d}": F.coalesce(x.cast("string"), F.lit("\x00")) for d, x in dims.items()}
-    joined = docs.withColumns(named).join(small(rated.drop("__tokens"), BROADCAST_ROWS), list(named), "left")
+    keep: float = KEEP, seed: int = SEED, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, strict: bool = False,
+) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with each dimension, ``tokens``, ``rate`` (weight a token, 1 on average), ``prob`` and ``kept``;
+    and the names that those columns have, which are free ones."""
+    plain = {d: f"dim_{i}" for i, d in enumerate(dims)}
+    cells = stage(docs.select(*[x.cast("string").alias(plain[d]) for d, x in dims.items()], tokens.alias("tokens")).groupBy(*plain.values()).agg(F.sum("tokens").alias("tokens")))
+    goals = {plain[d]: targets[d] if targets else tempered_targets(cells, plain[d]) for d in dims}
+    raked = rake(cells, goals, rounds)
+    fitted = stage(raked.cells)
+    if raked.off > TOLERANCE:
+        said = f"marginals are off by {raked.off:.3g} after {raked.rounds} rounds"
+        if strict:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
+    n, w = fitted.agg(F.sum("tokens"), F.sum("w")).first()
+    rated = stage(fitted.select(*plain.values(), "tokens", (F.col("w") / F.lit(w or 1.0) * F.lit(n or 1) / F.col("tokens")).alias("rate")))
+    c = scale(rated, keep)
+    names = {x: unused(f"{x}_", docs) for x in [*dims, "tokens", "rate", "prob", "kept"]}
+    own = [names[d] for d in dims]
+    dimmed = docs.withColumns({names[d]: x.cast("string") for d, x in dims.items()})
+    theirs = [unused(f"cell_{x}", docs) for x in plain.values()]
+    rates = rated.select(*[F.col(x).alias(y) for x, y in zip(plain.values(), theirs, strict=True)], F.col("rate").alias(names["rate"]))
+    joined = dimmed.join(small(rates, BROADCAST_ROWS), same([F.col(x) for x in own], [F.col(x) for x in theirs]), "left").drop(*theirs)
     u = F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(F.col(text))).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    drawn = joined.withColumn("__rate", F.coalesce("__rate", F.lit(0.0))).withColumn("__prob", F.least(F.lit(1.0), F.col("__rate") * c))
-    return drawn.withColumn("__tokens", tokens).withColumn("__kept", u < F.col("__prob"))
+    rate = F.coalesce(F.col(names["rate"]), F.lit(0.0))
+    drawn = joined.withColumn(names["rate"], rate).withColumn(names["prob"], F.least(F.lit(1.0), F.col(names["rate"]) * c))
+    return drawn.withColumn(names["tokens"], tokens).withColumn(names["kept"], u < F.col(names["prob"])), names
 
 
 def mixed(docs: DataFrame, dims: dict[str, Column], tokens: Column, keep: float = KEEP, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents drawn, with their own columns."""
-    return mix(docs, dims, tokens, keep=keep, seed=seed, key=key, text=text).where("__kept").select(*docs.columns)
+    drawn, names = mix(docs, dims, tokens, keep=keep, seed=seed, key=key, text=text)
+    return drawn.where(F.col(names["kept"])).select(*docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontaminate, langid, mixing, quality, secrets, sharding, simhash, substring, tokens, urls
-from weftgraph.llm.common import table
+from weftgraph.llm.common import stage, table
 
 
 def _decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,11 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits")
 
 
+def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 costs, from the stored ledger's bits; no text is read again."""
+    return quality.ablation(stage(quality.ledger(table(spark, sf_dir, "documents")).select("doc_id", "fail_bits")))
+
+
 def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.classify(table(spark, sf_dir, "documents")))
 
@@ -55,16 +60,16 @@ def _langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
-def mixing_dims() -> dict:
-    return {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"))}
+def mixing_dims(docs: DataFrame) -> dict:
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"), F.col("lang"), mixing.keywords(docs))}
 
 
 def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    drawn = mixing.mix(docs, mixing_dims(), mixing.token_count(F.col("text")))
+    drawn, at = mixing.mix(docs, mixing_dims(docs), mixing.token_count(F.col("text")))
     return drawn.select(
-        "doc_id", F.col("__tokens").alias("n_tokens"), F.col("__topic").alias("topic"), F.round("__rate", 6).alias("weight"),
-        F.round("__prob", 6).alias("prob"), F.col("__kept").alias("kept"),
+        "doc_id", F.col(at["tokens"]).alias("n_tokens"), F.col(at["topic"]).alias("topic"), F.round(at["rate"], 6).alias("weight"),
+        F.round(at["prob"], 6).alias("prob"), F.col(at["kept"]).alias("kept"),
     )
 
 
@@ -85,10 +90,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": _simhash,
     "op9_mixing": _mixing,
     "op10_url_filters": _urls,
+    "quality_ablation": _ablation,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_LEDGER = rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') s FROM d, unnest(range(1, len(w) - 3)) t(i)),
+        r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) c FROM g) WHERE c > 1),
+        c AS (SELECT doc_id, count(DISTINCT i + j) k FROM r, unnest(range(0, 5)) t(j) GROUP BY 1),
+        m AS (SELECT d.doc_id, len(w)::BIGINT n_words, length(array_to_string(w, ''))::BIGINT word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT n_symbols,
+            (len(l) - len(list_distinct(l)))::BIGINT n_dup_lines, coalesce(k, 0)::BIGINT n_repeat_words, len(regexp_extract_all(text, '[A-Z]'))::BIGINT n_upper, len(l)::BIGINT n_lines
+            FROM d LEFT JOIN c USING (doc_id)),
+        f AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > 3 * n_words)::BIGINT
+            + 8 * (n_lines >= 6 AND 10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (word_chars > 20 * n_words OR word_chars < 2 * n_words)::BIGINT
+            + 32 * (10 * n_upper > 4 * word_chars)::BIGINT AS fail_bits FROM m)"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM documents),
@@ -99,19 +117,13 @@ ORACLES: dict[str, str] = {
         m AS (SELECT doc_id, item_id, count(*) AS k FROM s JOIN i USING (s) GROUP BY 1, 2)
         SELECT doc_id, item_id, k AS n_shared, q AS n_shingles, round(k / q, 9) AS containment FROM m JOIN q USING (item_id) WHERE 10 * k >= 8 * q
     """,
-    "op2_quality_rules": rf"""
-        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l FROM documents),
-        g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') s FROM d, unnest(range(1, len(w) - 3)) t(i)),
-        r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) c FROM g) WHERE c > 1),
-        c AS (SELECT doc_id, count(DISTINCT i + j) k FROM r, unnest(range(0, 5)) t(j) GROUP BY 1),
-        m AS (SELECT d.doc_id, len(w)::BIGINT n_words, length(array_to_string(w, ''))::BIGINT word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT n_symbols,
-            (len(l) - len(list_distinct(l)))::BIGINT n_dup_lines, coalesce(k, 0)::BIGINT n_repeat_words, len(regexp_extract_all(text, '[A-Z]'))::BIGINT n_upper, len(l)::BIGINT n_lines
-            FROM d LEFT JOIN c USING (doc_id)),
-        f AS (SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > 3 * n_words)::BIGINT
-            + 8 * (n_lines >= 6 AND 10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (word_chars > 20 * n_words OR word_chars < 2 * n_words)::BIGINT
-            + 32 * (10 * n_upper > 4 * word_chars)::BIGINT AS fail_bits FROM m)
+    "op2_quality_rules": _LEDGER + """
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
     """,
+    "quality_ablation": _LEDGER + """,
+        r AS (SELECT unnest(['min_words', 'repeated_windows', 'symbols', 'dup_lines', 'word_length', 'upper_case']) AS rule, unnest([1, 2, 4, 8, 16, 32]) AS bit)
+        SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_failed_alone, count(*) FILTER (fail_bits & ~bit::BIGINT = 0) AS n_kept_without FROM f, r GROUP BY 1
+    """,
     "op6_substring_dedup": rf"""
         WITH d AS (SELECT doc_id, {_WORDS} w FROM documents),
         g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') s FROM d, unnest(range(1, len(w) - 48)) t(i)),

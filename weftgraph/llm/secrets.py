@@ -5,8 +5,9 @@ repositories and owners over the whole corpus: a value that several owners hold
 example, one that stays with its owner looks live.
 
 Defined cases: a null text is empty (no spans); a null owner or repository counts as one of its
-own; repeated rows each get a row and count once as a repository when their key is the same; equal
-spans of several kinds all stay; an empty table gives an empty result.
+own, apart from any real value; repeated rows each get a row and count once as a repository when their key is the same; equal
+spans of several kinds all stay; an empty table gives an empty result; other columns are not read.
+Values are hashed where they are found: no secret is written anywhere in plain.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import let, prefix_sums, stage
+from weftgraph.llm.common import let, prefix_sums, small, stage
 
 #: Kind, pattern, group that holds the secret, least length of that group. In the order in which ties are listed.
 KINDS = (
@@ -29,7 +30,10 @@ BASE = ("assign", "access", "hex")
 EXAMPLE_OWNERS = 3
 EXAMPLE_REPOS = 10
 
-_SPAN = "array<struct<start:bigint,rank:int,stop:bigint,value:string>>"
+#: Distinct example hashes (64 characters) up to which they are broadcast.
+BROADCAST_ROWS = 100_000
+
+_SPAN = "array<struct<start:bigint,rank:int,stop:bigint,hash:string>>"
 
 
 def _spans(text: Column, rank: int) -> Column:
@@ -55,10 +59,10 @@ def _spans(text: Column, rank: int) -> Column:
                             (F.get(stops, i) - F.length(m)).alias("start"),
                             F.lit(rank).alias("rank"),
                             F.get(stops, i).alias("stop"),
-                            F.get(values, i).alias("value"),
+                            F.when(F.length(F.get(values, i)) >= least, F.sha2(F.get(values, i), 256)).alias("hash"),
                         ),
                     ),
-                    lambda s: F.length(s["value"]) >= least,
+                    lambda s: s["hash"].isNotNull(),
                 ),
             )
 
@@ -82,13 +86,13 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source") -> DataFrame:
-    """A row for each document: key, ``repo``, ``owner`` and its ``spans`` (start, rank of the kind, stop, value), sorted."""
+    """A row for each document: key, ``repo``, ``owner`` and its ``spans`` (start, rank of the kind, stop, SHA-256 of the value), sorted."""
     filled = F.coalesce(F.col(text), F.lit(""))
     every = let(filled, lambda t: F.sort_array(F.concat(*[_spans(t, rank) for rank in range(len(KINDS))])))
     return docs.select(
         F.col(key).alias("doc_id"),
-        F.coalesce(F.col(repo).cast("string"), F.lit("?")).alias("repo"),
-        F.coalesce(F.col(owner).cast("string"), F.lit("?")).alias("owner"),
+        F.col(repo).cast("string").alias("repo"),
+        F.col(owner).cast("string").alias("owner"),
         every.alias("spans"),
     )
 
@@ -112,14 +116,11 @@ def classify(
 ) -> DataFrame:
     """``scan`` with ``n_live`` and ``n_example``: spans by the class of their value over the corpus."""
     found = stage(scan(docs, key, text, repo, owner).withColumn("row", F.monotonically_increasing_id()))
-    one = found.where(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans").alias("s"))
-    one = one.select("row", "repo", "owner", F.sha2(F.col("s.value"), 256).alias("hash"))
-    held = ownership(one).withColumn("example", (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos))
-    of_row = (
-        one.groupBy("row", "hash").agg(F.count(F.lit(1)).alias("k"))
-        .join(held.select("hash", "example"), "hash")
-        .groupBy("row").agg(F.sum(F.when(F.col("example"), F.lit(0)).otherwise(F.col("k"))).alias("n_live"), F.sum("k").alias("k"))
-    )
+    one = found.where(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans.hash").alias("hash"))
+    examples = ownership(one).where((F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)).select("hash")
+    # a value that a third of all documents hold stays where its documents are: its hash comes to them
+    of_each = one.select("row", "hash").join(small(stage(examples.withColumn("example", F.lit(True))), BROADCAST_ROWS), "hash", "left")
+    of_row = of_each.groupBy("row").agg(F.count(F.when(F.col("example").isNull(), 1)).alias("n_live"), F.count(F.lit(1)).alias("k"))
     return found.join(of_row, "row", "left").select(
         "doc_id", "repo", "owner", "spans",
         F.coalesce("n_live", F.lit(0)).alias("n_live"),

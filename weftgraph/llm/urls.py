@@ -8,7 +8,8 @@ with a third of all captures costs its days.
 Patterns are hosts (which cover their subdomains) or ``host/segment``. Defined cases: on one day a
 removal outlasts an addition; a null or unreadable URL, or a null fetch time, matches nothing;
 repeated captures each get a row; repeated entries count once; empty tables give an empty result
-or no matches; ``pattern`` is the longest of several matches, ties the greatest.
+or no matches; ``pattern`` is the longest of several matches, ties the greatest; other columns of the
+captures pass through, and those named like the three results are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.llm.common import small, stage
+from weftgraph.llm.common import small, stage, unused
 
 #: Intervals (about 60 bytes) up to which they are broadcast.
 BROADCAST_ROWS = 200_000
@@ -51,17 +52,18 @@ def _patterns(h: Column, seg: Column) -> Column:
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: Column | None = None) -> DataFrame:
     """``captures`` with ``n_matches``, ``pattern`` (the most specific) and ``blocked``, as of the fetch day."""
     day = F.to_date(fetched if fetched is not None else F.col("fetched"))
-    keyed = captures.withColumns({"__h": host(F.col(url)), "__s": segment(F.col(url)), "__d": day})
-    distinct = keyed.select("__h", "__s", "__d").where("__h IS NOT NULL AND __d IS NOT NULL").distinct()
-    probes = distinct.select("__h", "__s", "__d", F.explode(_patterns(F.col("__h"), F.col("__s"))).alias("pattern"))
+    h, s, d = (unused(x, captures) for x in ("host_", "segment_", "day_"))
+    keyed = captures.withColumns({h: host(F.col(url)), s: segment(F.col(url)), d: day})
+    distinct = keyed.select(h, s, d).where(F.col(h).isNotNull() & F.col(d).isNotNull()).distinct()
+    probes = distinct.select(h, s, d, F.explode(_patterns(F.col(h), F.col(s))).alias("pattern"))
     held = small(stage(intervals(entries)), BROADCAST_ROWS)
     best = F.max(F.struct(F.length("pattern"), F.col("pattern")))["pattern"]
     verdicts = (
-        probes.join(held, "pattern").where("__d >= since AND __d < until")
-        .groupBy("__h", "__s", "__d").agg(F.count(F.lit(1)).alias("n_matches"), best.alias("pattern"))
+        probes.join(held, "pattern").where((F.col(d) >= F.col("since")) & (F.col(d) < F.col("until")))
+        .groupBy(h, s, d).agg(F.count(F.lit(1)).alias("n_matches"), best.alias("pattern"))
     )
-    own = [c for c in captures.columns if c not in ("n_matches", "pattern", "blocked")]
-    joined = keyed.select(*own, "__h", "__s", "__d").join(small(stage(verdicts), BROADCAST_ROWS), ["__h", "__s", "__d"], "left")
+    own = [c for c in captures.columns if c.lower() not in ("n_matches", "pattern", "blocked")]
+    joined = keyed.select(*own, h, s, d).join(small(stage(verdicts), BROADCAST_ROWS), [h, s, d], "left")
     n = F.coalesce("n_matches", F.lit(0)).cast("bigint")
     return joined.select(*own, n.alias("n_matches"), "pattern", (n > 0).alias("blocked"))
 
@@ -81,5 +83,6 @@ def synthetic_list(pages: DataFrame, url: str = "url") -> DataFrame:
     added = hosts.where(at(1) < "8").select(F.col("h").alias("pattern"), start.alias("day"), F.lit("add").alias("action"))
     removed = hosts.where((at(1) < "8") & (at(4) < "8")).select(F.col("h").alias("pattern"), F.date_add(start, 90).alias("day"), F.lit("remove").alias("action"))
     paths = hosts.where(at(5) < "4").select(F.concat("h", F.lit("/en")).alias("pattern"), F.lit("2024-03-01").cast("date").alias("day"), F.lit("add").alias("action"))
-    fixed = pages.sparkSession.createDataFrame([("spam-farm.example.org", "add"), ("cheap-pills.example.com", "add")], "pattern string, action string")
-    return added.union(removed).union(paths).union(fixed.select("pattern", F.lit("2024-01-01").cast("date"), "action"))
+    spam = F.explode(F.array(F.lit("spam-farm.example.org"), F.lit("cheap-pills.example.com"))).alias("pattern")
+    fixed = pages.sparkSession.range(1).select(spam, F.lit("2024-01-01").cast("date").alias("day"), F.lit("add").alias("action"))
+    return added.union(removed).union(paths).union(fixed)
