@@ -13,6 +13,7 @@ from weftgraph.operators import retrieval as R
 from weftgraph.operators import traversal as T
 from weftgraph.operators import work as W
 from weftgraph.plans.graph import Graph, degrees
+from weftgraph.session import written
 from weftgraph.sources.sinks import article
 
 
@@ -25,20 +26,34 @@ class GraphService:
             row = [(kind, question, n, time.time())]
             self.graph.nodes.sparkSession.createDataFrame(row, "kind string, question string, n int, at double").write.mode("append").json(self.log)
 
-    def query_graph(self, question: str, depth: int = 3, budget: int = 2000, contexts: list[str] | None = None, mode: str = "bfs") -> str:
-        """Text of the part of the graph that a question is about, within a budget of tokens; seeds are never cut."""
+    def query_graph(self, question: str, depth: int = 3, budget: int = 2000, contexts: list[str] | None = None, mode: str = "bfs", top_k: int = 3, top_n: int = 1) -> str:
+        """Text of the part of the graph that a question is about, within a budget of tokens; seeds are never cut.
+
+        With ``top_n`` over one, each of the best nodes gets a part of its own and its share of the budget.
+        """
         g = R.context_filter(self.graph, R.resolve_contexts(question, contexts))
-        scored = T.written(R.score_nodes(self.graph.nodes, R.prepare(self.graph.nodes, question)))
-        seeds = R.pick_seeds(scored, self.graph)
-        if not seeds:
-            return "no match"
+        query = R.prepare(self.graph.nodes, question)
+        scored = written(R.score_nodes(self.graph.nodes, query))
         depth = min(depth, 6)
+        if top_n > 1:
+            best = R.ranked(scored, top_n).select("id", F.coalesce("label", "id").alias("label"), "score").collect()
+            head = "=== Result {}/{} (seed: {}, score: {:.2f}) ==="
+            parts = [head.format(i, top_n, r["label"], r["score"]) + "\n" + self._part(g, [r["id"]], depth, max(budget // top_n, 500), mode) for i, r in enumerate(best, 1)]
+            text = "\n\n".join(parts) or "no match"
+        else:
+            seeds = R.pick_seeds(scored, self.graph, top_k, terms=query.terms)
+            text = self._part(g, seeds, depth, budget, mode) if seeds else "no match"
+        if text != "no match":
+            self._logged("query", question, text.count("\n") + 1)
+        return text
+
+    def _part(self, g: Graph, seeds: list[str], depth: int, budget: int, mode: str) -> str:
         if mode == "dfs":
             order = T.dfs(g, seeds, depth)
             seen = self.graph.nodes.sparkSession.createDataFrame([(n, i) for i, n in enumerate(order)], "id string, hop int")
         else:
             seen = T.bfs(g, seeds, depth)
-        seen = T.written(seen)
+        seen = written(seen)
         first = F.when(F.col("id").isin(seeds), 0).otherwise(1)
         nodes = seen.join(self.graph.nodes, "id").join(degrees(self.graph), "id").select(
             F.lit("q").alias("doc"), F.struct(first, "hop", -F.col("degree"), "id").alias("ord"), F.concat(F.lit("NODE "), F.coalesce("label", "id"), F.lit(" ["), F.coalesce("source_file", F.lit("")), F.lit("]")).alias("line")
@@ -49,7 +64,6 @@ class GraphService:
         room = 3 * budget - sum(len(x) + 1 for x in kept)
         edges = T.induced_edges(g, seen).select(F.lit("e").alias("doc"), F.struct("src", "dst", "relation").alias("ord"), F.concat_ws(" ", F.lit("EDGE"), "src", "relation", "dst").alias("line"))
         kept += [r["line"] for r in R.cut_to_budget(edges, max(room, 0) // 3).orderBy("ord").collect()]
-        self._logged("query", question, len(kept))
         return "\n".join(kept)
 
     def get_node(self, name: str) -> DataFrame:
@@ -60,6 +74,10 @@ class GraphService:
         found = R.best_tier(R.lookup(self.graph.nodes, name)).limit(2).collect()
         return found[0]["id"] if len(found) == 1 else None
 
+    def endpoint(self, name: str) -> str | None:
+        """The best scored node for one end of a path, one whose label has every token of the name if there is one."""
+        return R.pick_endpoint(R.score_nodes(self.graph.nodes, R.prepare(self.graph.nodes, name)), name)
+
     def get_neighbors(self, node: str, relation: str = "") -> DataFrame:
         return R.neighbours_of(self.graph, node, relation)
 
@@ -76,7 +94,7 @@ class GraphService:
         return A.graph_stats(self.graph).first().asDict()
 
     def shortest_path(self, a: str, b: str, max_hops: int = 8, directed: bool = True) -> list[str]:
-        x, y = self.resolve(a), self.resolve(b)
+        x, y = self.resolve(a) or self.endpoint(a), self.resolve(b) or self.endpoint(b)
         return T.shortest_path(self.graph, x, y, directed, max_hops) if x and y else []
 
     def affected(self, name: str, depth: int = 2) -> DataFrame:

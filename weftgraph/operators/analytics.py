@@ -125,14 +125,15 @@ def remap_communities(new: DataFrame, old: DataFrame) -> dict[int, int]:
 
 def surprises(graph: Graph, n: int | None = 5) -> DataFrame:
     """Edges across files between entities, by how little the structure explains them; ties by ids and relation."""
-    own = with_degree(graph).select("id", "label", "source_file", "community", "degree")
+    label, source = F.col("label"), F.col("source_file")
+    real = with_degree(graph).where(~P.is_concept(source) & ~P.is_file_node(label, source, F.col("degree")))
+    # what scoring asks of an end, without its label
+    own = real.select("id", "source_file", "community", "degree")
     side = lambda s: own.select(*[F.col(c).alias(f"{s}_{c}") for c in own.columns])
     both = (
-        graph.edges.where(~F.col("relation").isin(*STRUCTURAL))
+        graph.edges.where(~F.col("relation").isin(*STRUCTURAL)).select("src", "dst", "relation", "confidence")
         .join(side("u"), F.col("src") == F.col("u_id")).join(side("v"), F.col("dst") == F.col("v_id"))
     )
-    for s in "uv":
-        both = both.where(~P.is_concept(F.col(f"{s}_source_file")) & ~P.is_file_node(F.col(f"{s}_label"), F.col(f"{s}_source_file"), F.col(f"{s}_degree")))
     a, b = F.col("u_source_file"), F.col("v_source_file")
     conf, rel = F.coalesce("confidence", F.lit("EXTRACTED")), F.col("relation")
     ka, kb = P.file_category(a), P.file_category(b)

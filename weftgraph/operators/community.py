@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.operators.traversal import connected_components, written
+from weftgraph.operators.traversal import connected_components
 from weftgraph.plans.graph import Graph
+from weftgraph.session import written
 
 #: Edges of a component up to which one task clusters it; larger ones go by label propagation.
 KERNEL_EDGES = 2_000_000

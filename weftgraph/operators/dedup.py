@@ -12,11 +12,12 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from weftgraph.functions.text import MERGE_STOPWORDS, entropy, jaro, jaro_winkler, merge_norm, minhash_bands, osa_within_one
-from weftgraph.operators.traversal import connected_components, written
+from weftgraph.operators.traversal import connected_components
+from weftgraph.session import written
 
 # Thresholds of merging.
 ENTROPY_LEAST, MERGE_SCORE, COMMUNITY_BONUS, LONG_LABEL = 2.5, 92.0, 5.0, 12
-#: Labels of a band's bucket up to which its pairs are compared; larger buckets are split by length and first words.
+#: Labels of a band's bucket that one task compares with each other; larger buckets are cut into chunks.
 BUCKET = 200
 ANCHORED = ("rationale", "document")
 
@@ -41,25 +42,37 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return mergeable(nodes).withColumn("__r", first).where(f"__r = 1 AND bits >= {ENTROPY_LEAST}").drop("__r")
 
 
+def numbers(c: Column) -> Column:
+    """The numbers in a label, leading zeros aside, in order."""
+    plain = lambda x: F.coalesce(F.nullif(F.ltrim(x, F.lit("0")), F.lit("")), F.lit("0"))
+    return F.array_sort(F.transform(F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0)), plain))
+
+
 def lsh_pairs(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Pairs (a, b) of candidates that share a band of their label's MinHash.
+    """Pairs (a, b) of candidates that share a band of their label's MinHash, hold the same numbers and are of like length.
 
-    A bucket over ``bucket`` labels is joined only within equal first word and similar length: no
-    pair that passes the vetoes is lost to that, as other words in the first place are a veto and
-    a score of 92 bounds the lengths.
+    Other numbers are a veto whatever else two labels share, so they are part of a bucket's key. A
+    bucket over ``bucket`` labels is cut into chunks that meet in pairs, so no task holds all of it and
+    no pair is left out. A pair is given once, in the first band that it shares.
     """
-    c = written(candidates(nodes).select("id", "norm", "file_type", "source_file", "community", F.explode(minhash_bands(F.col("norm"))).alias("band")))
-    sizes = c.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    met = c.join(sizes, "band").withColumn("sub", F.when(F.col("k") > bucket, F.split("norm", " ")[0]).otherwise(""))
-    side = lambda s: met.select("band", "sub", *[F.col(x).alias(f"{x}_{s}") for x in ("id", "norm", "file_type", "source_file", "community")])
+    bands = F.transform(minhash_bands(F.col("norm")), lambda x: F.xxhash64(x))
+    c = candidates(nodes).select("id", "norm", "file_type", "source_file", "community", bands.alias("bands"), F.xxhash64(F.array_join(numbers(F.col("norm")), ",")).alias("numbers"))
+    each = written(c).withColumn("band", F.explode("bands"))
+    sizes = each.groupBy("band", "numbers").agg(F.ceil(F.count(F.lit(1)) / bucket).cast("int").alias("chunks"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    met = each.join(sizes, ["band", "numbers"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("own", j).alias("x"), F.greatest("own", j).alias("y")))
+    dealt = met.withColumn("cell", F.explode(cells)).select("band", "numbers", "cell", "own", "bands", "id", "norm", "file_type", "source_file", "community")
+    keys = ("band", "numbers", "cell")
+    side = lambda s: dealt.select(*keys, *[F.col(x).alias(f"{x}_{s}") for x in ("own", "bands", "id", "norm", "file_type", "source_file", "community")])
     close = F.abs(F.length("norm_a") - F.length("norm_b")) <= F.greatest(F.length("norm_a"), F.length("norm_b")) * 0.3
-    pairs = side("a").join(side("b"), ["band", "sub"]).where((F.col("id_a") < F.col("id_b")) & close)
-    return pairs.drop("band", "sub").distinct()
+    here = (F.col("cell.x") == F.col("cell.y")) | (F.col("own_a") != F.col("own_b"))
+    first = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band")
+    pairs = side("a").join(side("b"), list(keys)).where((F.col("id_a") < F.col("id_b")) & here & close & first)
+    return pairs.drop(*keys, "own_a", "own_b", "bands_a", "bands_b")
 
 
 def numeric_veto(a: Column, b: Column) -> Column:
     """Whether two labels hold different numbers, leading zeros aside."""
-    numbers = lambda c: F.array_sort(F.transform(F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0)), lambda x: F.coalesce(F.nullif(F.ltrim(x, F.lit("0")), F.lit("")), F.lit("0"))))
     return (a != b) & (numbers(a) != numbers(b))
 
 

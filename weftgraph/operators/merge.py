@@ -15,15 +15,18 @@ def edge_key(edges: DataFrame, directed: bool = False) -> DataFrame:
 
 
 def graph_diff(old: Graph, new: Graph, directed: bool = False) -> DataFrame:
-    """(change, kind, key) of nodes and edges added and removed."""
-    node = lambda g: g.nodes.select(F.col("id").alias("key")).distinct()
-    edge = lambda g: edge_key(g.edges, directed).select(F.concat_ws("|", "src", "dst", "relation").alias("key"))
-    tag = lambda df, c, k: df.select(F.lit(c).alias("change"), F.lit(k).alias("kind"), "key")
-    parts = [tag(of(a).join(of(b), "key", "left_anti"), c, k) for c, a, b in (("added", new, old), ("removed", old, new)) for k, of in (("node", node), ("edge", edge))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    """(change, kind, key) of nodes and edges added and removed.
+
+    Keys of both graphs are counted together, each by the graphs that have it: one shuffle, summed before.
+    """
+
+    def keys(g: Graph, bit: int) -> DataFrame:
+        ends = (F.col("src"), F.col("dst")) if directed else (F.least("src", "dst"), F.greatest("src", "dst"))
+        nodes = g.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("key"), F.lit(bit).alias("bit"))
+        return nodes.union(g.edges.select(F.lit("edge"), F.concat_ws("|", *ends, "relation"), F.lit(bit)))
+
+    has = keys(old, 1).union(keys(new, 2)).groupBy("kind", "key").agg(F.bit_or("bit").alias("bits")).where("bits < 3")
+    return has.select(F.when(F.col("bits") == 1, "removed").otherwise("added").alias("change"), "kind", "key")
 
 
 def same_topology(a: Graph, b: Graph) -> bool:
@@ -60,12 +63,19 @@ def prefixed(graph: Graph, repo: str, offset: int = 0) -> Graph:
 
 
 def union_graphs(*graphs: Graph) -> Graph:
-    """All rows; of nodes with one id the last graph's stays."""
-    n, e = graphs[0].nodes, graphs[0].edges
-    for g in graphs[1:]:
-        n = n.join(g.nodes.select("id"), "id", "left_anti").unionByName(g.nodes, allowMissingColumns=True)
-        e = e.unionByName(g.edges, allowMissingColumns=True)
-    return Graph(n, e)
+    """One graph of several: of nodes with one id, and of edges with ends and relation, one row, each attribute from
+    the last graph that states it."""
+
+    def merged(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+        rows = None
+        for i, p in enumerate(parts):
+            p = p.withColumn("order_", F.lit(i))
+            rows = p if rows is None else rows.unionByName(p, allowMissingColumns=True)
+        others = [c for c in rows.columns if c not in (*keys, "order_")]
+        last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("order_", F.col(c)))).alias(c) for c in others]
+        return rows.groupBy(*keys).agg(*last).select(*[c for c in rows.columns if c != "order_"])
+
+    return Graph(merged([g.nodes for g in graphs], ["id"]), merged([g.edges for g in graphs], ["src", "dst", "relation"]))
 
 
 def prune_repo(graph: Graph, repo: str) -> Graph:
@@ -82,16 +92,24 @@ def merge_externals(nodes: DataFrame) -> DataFrame:
 
 
 def cross_repo_types(nodes: DataFrame) -> DataFrame:
-    """(src, dst) of types that several repositories declare under one namespace and label.
+    """(namespace, label, src, dst): each pair of declarations of one type in two repositories, in the order of ids.
 
-    Links go from each declaration to the first of its name in the next repository by name, which
-    connects all repositories of a type without every pair of them.
+    A type is what shares namespace and label. Declarations in one repository are not paired, so the
+    pairs of a type are bounded by the square of what the repositories declare of it; ``type_classes``
+    says the same in a row for each declaration.
     """
-    first = nodes.where("namespace <> ''").groupBy("namespace", "label", "repo").agg(F.min("id").alias("id"))
-    from pyspark.sql.window import Window
-
-    nxt = F.lead("id").over(Window.partitionBy("namespace", "label").orderBy("repo"))
-    return first.select(F.col("id").alias("src"), nxt.alias("dst")).where("dst IS NOT NULL")
+    own = nodes.where("namespace <> ''").select("namespace", "label", "repo", "id")
+    other = own.toDF("namespace", "label", "repo_b", "dst")
+    return own.join(other, ["namespace", "label"]).where("repo <> repo_b AND id < dst").select("namespace", "label", F.col("id").alias("src"), "dst")
+
+
+def type_classes(nodes: DataFrame) -> DataFrame:
+    """(id, class, n_repos, n_links): the least id of a declaration's type, its repositories, and the pairs it is in."""
+    own = nodes.where("namespace <> ''").select("namespace", "label", "repo", "id")
+    by_repo = own.groupBy("namespace", "label", "repo").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("least"))
+    whole = by_repo.groupBy("namespace", "label").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_repos"), F.min("least").alias("class")).where("n_repos > 1")
+    counted = by_repo.join(whole, ["namespace", "label"]).select("namespace", "label", "repo", "class", "n_repos", (F.col("n") - F.col("k")).alias("n_links"))
+    return own.join(counted, ["namespace", "label", "repo"]).select("id", "class", "n_repos", "n_links")
 
 
 def manifest_changes(disk: DataFrame, manifest: DataFrame) -> DataFrame:

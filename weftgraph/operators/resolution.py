@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.traversal import written
+from weftgraph.session import written
 
 _RESOLVERS: dict[str, tuple[tuple[str, ...], Callable[[DataFrame, DataFrame, DataFrame], DataFrame]]] = {}
 

@@ -6,14 +6,12 @@ bounded by a parameter; between hops the frontier is written to the shared folde
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.plans.graph import Graph, degrees, neighbours
+from weftgraph.plans.graph import Graph, neighbours, pairs
+from weftgraph.session import discard, small, written
 
 # Relations along which a change has effects.
 IMPACT = (
@@ -22,42 +20,46 @@ IMPACT = (
 )
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df``, written to the folder in spark.checkpoint.dir and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='weftgraph-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/weftgraph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def hub_threshold(graph: Graph) -> int:
-    """Degree from which nodes are not walked through: the 99th percentile by rank, 50 at least."""
-    by_degree = degrees(graph).groupBy("degree").agg(F.count(F.lit(1)).alias("k"))
-    n = by_degree.agg(F.sum("k")).first()[0] or 0
-    upto = F.sum("k").over(Window.orderBy("degree"))  # a row for each distinct degree
-    row = by_degree.withColumn("upto", upto).where(F.col("upto") > int(n * 0.99)).agg(F.min("degree")).first()
+#: Rows (an id of some 20 bytes and a number) up to which a frontier or a list of hubs is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def degrees_of(near: DataFrame) -> DataFrame:
+    """(id, degree) from distinct unordered pairs (a, b), of nodes with an edge; a self-loop counts two."""
+    return near.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def hub_threshold(nodes: DataFrame, degree: DataFrame) -> int:
+    """Degree from which nodes are not walked through: the 99th percentile by rank, 50 at least; nodes without edges rank first."""
+    n = nodes.count()
+    by_degree = degree.join(nodes.select("id"), "id", "left_semi").groupBy("degree").agg(F.count(F.lit(1)).alias("k"))
+    above = F.sum("k").over(Window.orderBy(F.desc("degree")))  # a row for each distinct degree
+    row = by_degree.withColumn("above", above).where(F.col("above") >= n - int(n * 0.99)).agg(F.max("degree")).first()
     return max(50, row[0] or 0)
 
 
 def bfs(graph: Graph, seeds: list[str], depth: int = 2, directed: bool = False) -> DataFrame:
-    """(id, hop) of nodes within ``depth``; hubs are reached but not walked through, seeds excepted."""
+    """(id, hop) of nodes within ``depth``; hubs are reached but not walked through, seeds excepted.
+
+    Pairs are written once, and degrees and hops read them; a frontier within bounds is broadcast, so
+    a hop is a scan of the pairs without a shuffle of them.
+    """
     spark = graph.nodes.sparkSession
-    limit = hub_threshold(graph)
-    near = written(graph.edges.where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("other")).distinct() if directed else neighbours(graph.edges))
-    hubs = written(degrees(graph).where(F.col("degree") >= limit).select("id"))
-    front = spark.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "id string").join(graph.nodes.select("id"), "id", "left_semi")
-    seen = written(front.withColumn("hop", F.lit(0)))
+    near = written(pairs(graph.edges))
+    degree = written(degrees_of(near))
+    limit = hub_threshold(graph.nodes, degree)
+    steps = written(graph.edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()) if directed else near.where("a <> b")
+    front = spark.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "id string")
+    seen = written(graph.nodes.select("id").join(F.broadcast(front), "id", "left_semi").distinct().withColumn("hop", F.lit(0)))  # the seeds
     for hop in range(1, depth + 1):
         front = seen.where(F.col("hop") == hop - 1).select("id")
         if hop > 1:
-            front = front.join(hubs, "id", "left_anti")
-        new = near.join(front, "id").select(F.col("other").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
+            front = front.join(degree.where(F.col("degree") >= limit).select("id"), "id", "left_anti")
+        front = small(written(front), BROADCAST_ROWS)
+        out = steps.join(front, F.col("a") == F.col("id")).select(F.col("b").alias("id"))
+        if not directed:
+            out = out.union(steps.join(front, F.col("b") == F.col("id")).select(F.col("a").alias("id")))
+        new = out.distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
         seen = written(seen.union(new))
     return seen
 
@@ -75,8 +77,9 @@ def dfs(graph: Graph, seeds: list[str], depth: int = 2, most: int = 50_000) -> l
     visited = bfs(graph, seeds, depth)
     if visited.count() > most:
         raise ValueError("subgraph too large for an ordered walk")
-    limit = hub_threshold(graph)
-    of = {r["id"]: r["degree"] for r in degrees(graph).join(visited, "id", "left_semi").collect()}
+    degree = written(degrees_of(pairs(graph.edges)))
+    limit = hub_threshold(graph.nodes, degree)
+    of = {r["id"]: r["degree"] for r in degree.join(visited, "id", "left_semi").collect()}
     near: dict[str, list[str]] = {}
     for r in neighbours(induced_edges(graph, visited)).orderBy("id", "other").collect():
         near.setdefault(r["id"], []).append(r["other"])
@@ -150,7 +153,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         least = near.join(labels.toDF("other", "label"), "other").select("id", "label").union(labels).groupBy("id").agg(F.min("label").alias("label"))
         up = labels.toDF("label", "above")
         new = written(least.join(up, "label").select("id", F.least("label", "above").alias("label")))
-        if new.join(labels.toDF("id", "was"), "id").where("label <> was").isEmpty():
+        same = new.join(labels.toDF("id", "was"), "id").where("label <> was").isEmpty()
+        discard(labels)
+        if same:
+            discard(near)
             return new.withColumnRenamed("label", "component")
         labels = new
 

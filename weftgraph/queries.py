@@ -19,6 +19,7 @@ from weftgraph.operators import retrieval as R
 from weftgraph.operators import traversal as T
 from weftgraph.operators import work as W
 from weftgraph.plans.graph import GRAPH_SQL, Graph, degrees, derived_graph
+from weftgraph.session import written
 from weftgraph.sources import sinks as S
 from weftgraph.streaming import watch
 
@@ -30,11 +31,18 @@ REAL = """real AS (SELECT n.*, d.degree, regexp_extract(source_file, '[^/]*$') A
     OR (starts_with(label, '.') AND ends_with(label, '()')) OR (ends_with(label, '()') AND degree <= 1)) AND contains(regexp_extract(source_file, '[^/]*$'), '.'))"""
 
 
-def query(name: str, sql: str | None = None, graph: bool = True):
-    """Register a query of (spark, sf_dir), or of a graph made from them, with its SQL."""
+def query(name: str, sql: str | None = None, graph: bool = True, once: bool = False):
+    """Register a query of (spark, sf_dir), or of a graph made from them, with its SQL.
+
+    With ``once`` the graph is written first, for operators that read it several times.
+    """
+
+    def made(spark: SparkSession, sf_dir: str) -> Graph:
+        g = derived_graph(spark, sf_dir)
+        return Graph(written(g.nodes), written(g.edges)) if once else g
 
     def wrap(f):
-        QUERIES[name] = (lambda spark, sf_dir: f(derived_graph(spark, sf_dir))) if graph else f
+        QUERIES[name] = (lambda spark, sf_dir: f(made(spark, sf_dir))) if graph else f
         if sql:
             ORACLES[name] = (GRAPH_SQL if graph or sql.lstrip().startswith(",") else "") + sql
         return f
@@ -244,13 +252,13 @@ _rounded = lambda df: df.select("id", "label", F.round("score", 6).alias("score"
 query("lexical_score", _SCORE.replace("JW", "0.0"))(lambda g: _rounded(R.score_nodes(g.nodes, R.prepare(g.nodes, QUESTION), fuzzy=False)))
 query("hybrid_rank", _SCORE.replace("JW", "jaro_winkler_similarity(term, lower(label))") + " ORDER BY score DESC, length(label), id LIMIT 10")(lambda g: _rounded(R.hybrid_search(g, QUESTION)))
 query("fuzzy_tier", """SELECT id, round(jaro_winkler_similarity('suplier#1', lower(label)), 6) AS sim FROM nodes WHERE id LIKE 'supplier%'""")(
-    lambda g: g.nodes.where("id LIKE 'supplier%'").select("id", F.round(X.jaro_winkler_udf(F.lit("suplier#1"), F.lower("label")), 6).alias("sim"))
+    lambda g: g.nodes.where("id LIKE 'supplier%'").select("id", F.round(X.jaro_winkler_column("suplier#1", F.lower("label")), 6).alias("sim"))
 )
 
 
 @query("pick_seeds")
 def _seeds(g: Graph) -> DataFrame:
-    found = T.written(R.score_nodes(g.nodes, R.prepare(g.nodes, QUESTION), fuzzy=False))
+    found = written(R.score_nodes(g.nodes, R.prepare(g.nodes, QUESTION), fuzzy=False))
     return g.nodes.sparkSession.createDataFrame(list(enumerate(R.pick_seeds(found, g))), "ord int, id string")
 
 

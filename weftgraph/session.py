@@ -1,12 +1,14 @@
-"""What a session needs so that Python workers can import this package."""
+"""What a session needs: workers that can import this package, and tables written to the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
@@ -31,3 +33,57 @@ def prepare(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
     _shipped.add(sc.applicationId)
     return spark
+
+
+_folders: set[str] = set()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where the session names none, a local session gets a temporary folder of its own; a cluster
+    has no folder that is safe to guess, so that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    own = f"file://{tempfile.mkdtemp(prefix='weftgraph-')}"
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df``, written as Parquet to the shared folder and read again: its lineage ends in files that outlive executors.
+
+    The application's files go when the driver ends, or with ``discard``.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/weftgraph/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        path, files = _hadoop(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    at = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a written table that nothing will read any more."""
+    path, files = _hadoop(df.sparkSession, df._written_at)
+    files.delete(path, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A written ``df``, marked for broadcast if it has at most so many rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
