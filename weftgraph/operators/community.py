@@ -1,129 +1,109 @@
-"""Community detection: deterministic Louvain, a component at a time, with size and cohesion splits."""
+"""Community detection by modularity: local moving and aggregation, as joins, with size and cohesion splits.
+
+One method at every size: no component is gathered in a task. Ties and the turns that nodes take are
+decided by id and hash, so the same graph gives the same communities however it is partitioned.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.operators.traversal import connected_components
 from weftgraph.plans.graph import Graph
-from weftgraph.session import written
-
-#: Edges of a component up to which one task clusters it; larger ones go by label propagation.
-KERNEL_EDGES = 2_000_000
-
-
-def louvain(edges: list[tuple[str, str, float]], threshold: float = 1e-4, levels: int = 10) -> dict[str, str]:
-    """Community (its least member) of each node of a weighted undirected graph; nodes are visited by id."""
-    adj: dict[str, dict[str, float]] = {}
-    for a, b, w in edges:
-        for x, y in ((a, b), (b, a)) if a != b else ((a, a),):
-            adj.setdefault(x, {})[y] = adj.setdefault(x, {}).get(y, 0.0) + w * (2 if a == b else 1)
-    home = {n: n for n in adj}
-    for _ in range(levels):
-        total = sum(sum(v.values()) for v in adj.values())
-        if not total:
+from weftgraph.session import discard, written
+
+#: Levels of aggregation, and turns of a level at most: a node has its turn in every other one.
+LEVELS, TURNS = 6, 16
+#: Share of all nodes over which a community is split (ten nodes at least); nodes and cohesion from which a loose one is.
+LARGE, LEAST, LOOSE_NODES, LOOSE = 0.25, 10, 50, 0.05
+
+
+def weighted_pairs(edges: DataFrame) -> DataFrame:
+    """(a, b, w) of the unordered pairs with an edge, their weights summed."""
+    return (
+        edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+        .agg(F.sum(F.coalesce("weight", F.lit(1.0)).cast("double")).alias("w"))
+    )
+
+
+def _moved(both: DataFrame, own: DataFrame, total: float) -> DataFrame:
+    """(id, c) after local moving on (id, other, w), self-loops aside; ``own`` has (id, k), a node's weighted degree."""
+    com = written(own.select("id", F.col("id").alias("c"), "k"))
+    still = 0
+    for turn in range(TURNS):
+        sums = com.groupBy("c").agg(F.sum("k").alias("tot"))
+        votes = both.join(com.select(F.col("id").alias("other"), "c"), "other").groupBy("id", "c").agg(F.sum("w").alias("w"))
+        mine = com.select("id", F.col("c").alias("now"), "k").where(F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2)
+        # a node may stay though no neighbour is with it
+        stay = mine.select("id", F.col("now").alias("c"), F.lit(0.0).alias("w"))
+        asked = votes.join(mine.select("id"), "id", "left_semi").union(stay).groupBy("id", "c").agg(F.sum("w").alias("w"))
+        met = asked.join(mine, "id").join(sums, "c")
+        gain = F.col("w") - (F.col("tot") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)) * F.col("k") / F.lit(total)
+        best = met.groupBy("id").agg(F.min(F.struct(F.round(-gain, 9).alias("g"), (F.col("c") != F.col("now")).alias("away"), "c")).alias("m"))
+        new = written(com.join(best, "id", "left").select("id", F.coalesce("m.c", "c").alias("c"), "k", F.coalesce("m.away", F.lit(False)).alias("away")))
+        changed = new.where("away").count()
+        discard(com)
+        com = new
+        still = 0 if changed else still + 1
+        if still == 2:
             break
-        deg = {n: sum(v.values()) for n, v in adj.items()}
-        com, tot = {n: n for n in adj}, dict(deg)
-        gained = True
-        moved_once = False
-        while gained:
-            gain = 0.0
-            for n in sorted(adj):
-                links: dict[str, float] = {}
-                for m, w in adj[n].items():
-                    if m != n:
-                        links[com[m]] = links.get(com[m], 0.0) + w
-                own = com[n]
-                tot[own] -= deg[n]
-                value = lambda c: links.get(c, 0.0) - tot[c] * deg[n] / total  # noqa: B023, E731
-                best = min(links.keys() | {own}, key=lambda c: (-value(c), c != own, c))
-                if value(best) > value(own) + 1e-12:
-                    gain += 2 * (value(best) - value(own)) / total
-                    com[n] = best
-                    moved_once = True
-                tot[com[n]] += deg[n]
-            gained = gain > threshold
-        if not moved_once:
+    return com.select("id", "c")
+
+
+def moved(pairs: DataFrame) -> DataFrame:
+    """(id, c) of the nodes of weighted pairs (a, b, w): communities named by a member."""
+    links = written(pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "w").union(pairs.select("b", "a", "w")))
+    total = links.agg(F.sum("w")).first()[0] or 0.0
+    of = written(links.groupBy("id").agg(F.lit(None).cast("string").alias("c")).select("id", F.col("id").alias("c")))
+    if not total:
+        return of
+    n = of.count()
+    for _ in range(LEVELS):
+        own = written(links.groupBy("id").agg(F.sum("w").alias("k")))
+        step = written(_moved(links.where("id <> other"), own, total))
+        up = step.toDF("c", "above")
+        of = written(of.join(up, "c").select("id", F.col("above").alias("c")))
+        left = step.select("c").distinct().count()
+        if left == n:
             break
-        new: dict[str, dict[str, float]] = {}
-        for n, v in adj.items():
-            row = new.setdefault(com[n], {})
-            for m, w in v.items():
-                row[com[m]] = row.get(com[m], 0.0) + w
-        home = {n: com[c] for n, c in home.items()}
-        adj = new
-    least: dict[str, str] = {}
-    for n in sorted(home):
-        least.setdefault(home[n], n)
-    return {n: least[c] for n, c in home.items()}
-
-
-def split_again(edges: list[tuple[str, str, float]], of: dict[str, str], n_all: int) -> dict[str, str]:
-    """Clusters anew what is over a quarter of all nodes (ten at least), or has 50 nodes and a cohesion under 0.05."""
-    members: dict[str, list[str]] = {}
-    for n, c in of.items():
-        members.setdefault(c, []).append(n)
-    inside: dict[str, list[tuple[str, str, float]]] = {}
-    for a, b, w in edges:
-        if of[a] == of[b]:
-            inside.setdefault(of[a], []).append((a, b, w))
-    out = dict(of)
-    for c, ns in members.items():
-        own = inside.get(c, [])
-        k = len({(min(a, b), max(a, b)) for a, b, _ in own if a != b})
-        loose = len(ns) >= 50 and k / (len(ns) * (len(ns) - 1) / 2) < 0.05
-        if len(ns) > max(10, n_all / 4) or loose:
-            out.update(louvain(own))
-    return out
-
-
-def propagate(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, c) by weighted label propagation, for components that no task should hold."""
-    both = written(edges.select(F.col("a").alias("id"), F.col("b").alias("other"), "w").union(edges.select("b", "a", "w")))
-    labels = written(nodes.select("id", F.col("id").alias("c")))
-    for _ in range(rounds):
-        votes = both.join(labels.toDF("other", "c"), "other").groupBy("id", "c").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "c")).alias("m"))
-        labels = written(labels.select("id", F.col("c").alias("own")).join(best, "id", "left").select("id", F.coalesce("m.c", "own").alias("c")))
-    return labels
-
-
-def detect(graph: Graph, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
-    """(id, community): every node once; 0 is the largest, ties by least member; isolates are alone."""
+        n = left
+        ends = links.join(step.toDF("id", "x"), "id").join(step.toDF("other", "y"), "other")
+        links = written(ends.groupBy(F.col("x").alias("id"), F.col("y").alias("other")).agg(F.sum("w").alias("w")))
+    return of
+
+
+def detect(graph: Graph, large: float = LARGE) -> DataFrame:
+    """(id, community): every node once; 0 is the largest, ties by least member; isolates are alone.
+
+    Communities of over ``large`` of all nodes, and loose ones, are clustered anew on their own edges.
+    """
     n_all = graph.nodes.count()
-    e = written(
-        graph.edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("w"))
-    )
-    comp = connected_components(graph.nodes.select("id"), e.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    placed = written(e.join(comp.toDF("a", "component"), "a"))
-    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
-    small, large = sizes.where(F.col("k") <= kernel_edges).select("component"), sizes.where(F.col("k") > kernel_edges).select("component")
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf[["a", "b", "w"]].sort_values(["a", "b"]).itertuples(index=False, name=None))
-        of = split_again(rows, louvain(rows), n_all)
-        return pd.DataFrame({"id": list(of), "c": list(of.values())})
-
-    near = placed.join(small, "component").groupBy("component").applyInPandas(kernel, "id string, c string")
-    far_nodes = comp.join(large, "component").select("id")
-    parts = near.union(propagate(placed.join(large, "component").select("a", "b", "w"), far_nodes))
-    every = graph.nodes.select("id").join(parts, "id", "left").select("id", F.coalesce("c", "id").alias("c"))
+    pairs = written(weighted_pairs(graph.edges))
+    of = moved(pairs)
+    inside = written(pairs.join(of.toDF("a", "c"), "a").join(of.toDF("b", "d"), "b").where("c = d").select("a", "b", "w", "c"))
+    sizes = of.groupBy("c").agg(F.count(F.lit(1)).alias("n")).join(inside.groupBy("c").agg(F.count(F.lit(1)).alias("k")), "c", "left")
+    loose = (F.col("n") >= LOOSE_NODES) & (F.coalesce("k", F.lit(0)) / (F.col("n") * (F.col("n") - 1) / 2) < LOOSE)
+    again = written(sizes.where((F.col("n") > F.greatest(F.lit(LEAST), F.lit(n_all * large))) | loose).select("c"))
+    parts = moved(inside.join(again, "c").select("a", "b", "w"))
+    both = of.join(parts.toDF("id", "part"), "id", "left").select("id", F.coalesce("part", "c").alias("c"))
+    every = graph.nodes.select("id").join(both, "id", "left").select("id", F.coalesce("c", "id").alias("c"))
     return numbered(written(every))
 
 
 def numbered(assignment: DataFrame) -> DataFrame:
     """(id, community) of (id, c), numbered by size, then least member. One row for each community is ranked."""
     sizes = assignment.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-    number = F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1
+    # communities of one size are ranked apart, and sizes by a row for each
+    rank = F.row_number().over(Window.partitionBy("n").orderBy("least")) - 1
+    before = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("k")).select("n", (F.sum("k").over(Window.orderBy(F.desc("n"))) - F.col("k")).alias("before"))
+    sizes = sizes.withColumn("rank", rank).join(before, "n")
+    number = (F.col("before") + F.col("rank")).cast("int")
     return assignment.join(sizes.select("c", number.alias("community")), "c").select("id", "community")
 
 
 def modularity(graph: Graph, assignment: DataFrame) -> float:
-    e = graph.edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("w"))
+    e = weighted_pairs(graph.edges)
     both = e.join(assignment.toDF("a", "ca"), "a").join(assignment.toDF("b", "cb"), "b")
     m = both.agg(F.sum("w")).first()[0] or 0.0
     if not m:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -23,12 +24,17 @@ def register(name: str, *extensions: str):
 
 
 def run_resolvers(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """New edges of all registered resolvers whose languages occur."""
+    """New edges of all registered resolvers whose languages occur; one that fails is named in a warning and left out."""
     there = {r[0] for r in nodes.select(F.lower(F.regexp_extract("source_file", r"\.([^.]+)$", 1)).alias("e")).distinct().collect()}  # a row for each extension
     out = edges.limit(0).select("src", "dst", "relation", "confidence")
-    for extensions, f in _RESOLVERS.values():
+    for name, (extensions, f) in _RESOLVERS.items():
         if there & set(extensions):
-            out = out.union(f(rows, nodes, edges).select("src", "dst", "relation", "confidence"))
+            try:
+                found = written(f(rows, nodes, edges).select("src", "dst", "relation", "confidence"))
+            except Exception as e:  # whatever a plug-in raises
+                warnings.warn(f"resolver {name} failed: {type(e).__name__}: {str(e)[:200]}", stacklevel=2)
+                continue
+            out = out.union(found)
     return out.distinct()
 
 

@@ -161,56 +161,38 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = new
 
 
-def betweenness(graph: Graph, pivots: int = 100, exact_up_to: int = 1000, most_edges: int = 2_000_000) -> DataFrame:
-    """(id, betweenness): Brandes from each pivot, sources spread over tasks; all nodes up to ``exact_up_to``.
+def betweenness(graph: Graph, pivots: int = 100, exact_up_to: int = 1000) -> DataFrame:
+    """(id, betweenness): Brandes from each pivot, all pivots at once; every node is one up to ``exact_up_to`` nodes.
 
-    Pivots are those of least hash. The adjacency is broadcast, which its size allows up to
-    ``most_edges`` edges and as many nodes; larger graphs are refused.
+    Pivots are those of least hash. A level forwards counts shortest paths to the nodes that it reaches
+    first, a level backwards sums what depends on them: joins of (pivot, node) rows with the edges, a
+    row for each node that a pivot reaches, whatever the size of the graph.
     """
-    spark: SparkSession = graph.nodes.sparkSession
-    p = neighbours(graph.edges)
-    m, n = p.count(), graph.nodes.count()
-    if m > 2 * most_edges or n > most_edges:
-        raise ValueError("too large for a broadcast adjacency")
-    ids = [r[0] for r in graph.nodes.select("id").orderBy("id").collect()]
-    at = {x: i for i, x in enumerate(ids)}
-    near: list[list[int]] = [[] for _ in ids]
-    for r in p.toLocalIterator():
-        if r[0] in at and r[1] in at:
-            near[at[r[0]]].append(at[r[1]])
-    shared = spark.sparkContext.broadcast(near)
+    ids = graph.nodes.select("id").distinct()
+    n = ids.count()
     k = n if n <= exact_up_to else min(pivots, n)
-    chosen = graph.nodes.select("id").orderBy(F.xxhash64("id", F.lit(42)), "id").limit(k)
-    sources = [at[r[0]] for r in chosen.collect()]
-
-    def brandes(batches):
-        import pandas as pd
-
-        adj = shared.value
-        acc = [0.0] * len(adj)
-        for b in batches:
-            for s in b["s"]:
-                order, before, paths, dist = [], [[] for _ in adj], [0.0] * len(adj), [-1] * len(adj)
-                paths[s], dist[s], queue = 1.0, 0, [s]
-                for v in queue:
-                    order.append(v)
-                    for w in adj[v]:
-                        if dist[w] < 0:
-                            dist[w] = dist[v] + 1
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                dep = [0.0] * len(adj)
-                for w in reversed(order):
-                    for v in before[w]:
-                        dep[v] += paths[v] / paths[w] * (1 + dep[w])
-                    if w != s:
-                        acc[w] += dep[w]
-        yield pd.DataFrame({"i": [i for i, x in enumerate(acc) if x], "x": [x for x in acc if x]})
-
-    work = spark.createDataFrame([(s,) for s in sources], "s int").repartition(max(1, min(len(sources), 4 * spark.sparkContext.defaultParallelism)))
-    sums = work.mapInPandas(brandes, "i int, x double").groupBy("i").agg(F.sum("x").alias("x"))
+    near = written(neighbours(graph.edges).join(ids, "id", "left_semi").join(ids.toDF("other"), "other", "left_semi").select("id", "other"))
+    start = ids.orderBy(F.xxhash64("id", F.lit(42)), "id").limit(k)
+    levels = [written(start.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")))]
+    seen = levels[0].select("s", "id")
+    while True:
+        ahead = levels[-1].join(near, "id").select("s", F.col("other").alias("id"), "paths")
+        new = written(ahead.join(seen, ["s", "id"], "left_anti").groupBy("s", "id").agg(F.sum("paths").alias("paths")))
+        if new.isEmpty():
+            break
+        levels.append(new)
+        # a node's neighbours are at its own level, the one before or the one after
+        seen = levels[-1].select("s", "id").union(levels[-2].select("s", "id"))
+    sums, below = None, None
+    for i in range(len(levels) - 1, 0, -1):
+        level = levels[i].withColumn("dep", F.lit(0.0)) if below is None else levels[i].join(below, ["s", "id"], "left").fillna(0.0, ["dep"])
+        level = written(level)
+        one = level.groupBy("id").agg(F.sum("dep").alias("x"))
+        sums = one if sums is None else sums.union(one)
+        back = level.join(near, "id").select("s", F.col("other").alias("id"), ((1 + F.col("dep")) / F.col("paths")).alias("share"))
+        below = written(back.join(levels[i - 1], ["s", "id"]).groupBy("s", "id").agg((F.sum("share") * F.first("paths")).alias("dep")))
     scale = (n / k) / ((n - 1) * (n - 2)) if n > 2 and k else 0.0
-    named = spark.createDataFrame(list(enumerate(ids)), "i int, id string")
-    return named.join(sums, "i", "left").select("id", (F.coalesce("x", F.lit(0.0)) * scale).alias("betweenness"))
+    if sums is None:
+        return ids.select("id", F.lit(0.0).alias("betweenness"))
+    whole = sums.groupBy("id").agg(F.sum("x").alias("x"))
+    return ids.join(whole, "id", "left").select("id", (F.coalesce("x", F.lit(0.0)) * scale).alias("betweenness"))
