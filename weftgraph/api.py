@@ -19,7 +19,7 @@ from weftgraph.sources.sinks import article
 
 class GraphService:
     def __init__(self, graph: Graph, prs: DataFrame | None = None, log: str | None = None) -> None:
-        self.graph, self.prs, self.log = graph, prs, log
+        self.graph, self.prs, self.log = Graph(R.normed(graph.nodes), graph.edges), prs, log
 
     def _logged(self, kind: str, question: str, n: int) -> None:
         if self.log:

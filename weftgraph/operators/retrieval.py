@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from weftgraph.functions.text import cosine, fold, jaro_winkler_column, label_tokens, norm_label, query_terms, score_terms, search_tokens, vector_weight
 from weftgraph.plans.graph import Graph, degrees
+from weftgraph.session import written
 
 # Bonuses of the match tiers.
 FULL_EXACT, FULL_PREFIX, EXACT, PREFIX, SUBSTRING, IN_SOURCE, FUZZY = 10_000.0, 1_000.0, 1_000.0, 100.0, 1.0, 0.5, 2.0
@@ -55,14 +56,22 @@ def context_filter(graph: Graph, contexts: list[str]) -> Graph:
     return graph.where_edges(F.col("context").isin(contexts)) if contexts else graph
 
 
+def normed(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``norm_label``, the label's normal form, as a stored column: scores compare it dozens of times."""
+    if "norm_label" in nodes.columns:
+        return nodes
+    return written(nodes.withColumn("norm_label", norm_label(F.coalesce("label", F.lit("")))))
+
+
 def _bare(norm: Column) -> Column:
     return F.regexp_replace(norm, r"[()]+$", "")
 
 
 def lookup(nodes: DataFrame, query: str) -> DataFrame:
     """(id, tier) of nodes that match a name: source_exact, exact, prefix or substring."""
-    term, norm_query = " ".join(search_tokens(query)), query.strip().lower()
-    norm = norm_label(F.col("label"))
+    term, norm_query = " ".join(search_tokens(query)), fold(query).lower().strip()
+    nodes = normed(nodes)
+    norm = F.col("norm_label")
     bare, tokens, source, nid = _bare(norm), label_tokens(norm), label_tokens(norm_label(F.col("source_file"))), F.lower("id")
     t, q = F.lit(term), F.lit(norm_query)
     exact = (norm == t) | (bare == t) | (tokens == t) | (nid == t) | (norm == q) | (bare == q) | (nid == q)
@@ -95,7 +104,8 @@ def explain(graph: Graph, node: str, n: int = 20) -> DataFrame:
 
 def idf(nodes: DataFrame, terms: list[str]) -> DataFrame:
     """(term, df, idf): ln(1 + N / (1 + df)), df being the labels that contain the term. All terms in one pass."""
-    norm = norm_label(F.col("label"))
+    nodes = normed(nodes)
+    norm = F.col("norm_label")
     row = nodes.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(norm.contains(t), 1)).alias(f"t{i}") for i, t in enumerate(terms)])
     each = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"t{i}").alias("df")) for i, t in enumerate(terms)])
     return row.select("n", F.inline(each)).select("term", "df", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("idf"))
@@ -122,9 +132,7 @@ def score_nodes(nodes: DataFrame, query: Query, fuzzy: bool = True, vectors: Dat
     The first tier that holds counts; full-query matches go on top; tiers are scaled by the square
     of the share of tokens matched. ``vectors`` is (id, sim). Without any score a node is left out.
     """
-    label = F.coalesce("label", F.lit(""))
-    norm = F.coalesce("norm_label", norm_label(label)) if "norm_label" in nodes.columns else norm_label(label)
-    base = nodes.select("id", "label", norm.alias("norm"), F.lower(F.coalesce("source_file", F.lit(""))).alias("src"), F.lower(F.coalesce("label", "id")).alias("low"))
+    base = normed(nodes).select("id", "label", F.col("norm_label").alias("norm"), F.lower(F.coalesce("source_file", F.lit(""))).alias("src"), F.lower(F.coalesce("label", "id")).alias("low"))
     base = base.withColumns({"bare": _bare(F.col("norm")), "tok": label_tokens(F.col("norm")), "nid": F.lower("id")})
     tokens, joined, top = query.tokens, " ".join(query.tokens), max(query.idf.values(), default=1.0)
     n, b, k = F.col("norm"), F.col("bare"), F.col("tok")
@@ -209,4 +217,5 @@ def cut_to_budget(lines: DataFrame, tokens: int, group: str = "doc") -> DataFram
 
 
 def hybrid_search(graph: Graph, question: str, n: int = 10, vectors: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
-    return ranked(score_nodes(graph.nodes, prepare(graph.nodes, question), fuzzy, vectors), n).select("id", "label", "score")
+    nodes = normed(graph.nodes)
+    return ranked(score_nodes(nodes, prepare(nodes, question), fuzzy, vectors), n).select("id", "label", "score")

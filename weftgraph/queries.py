@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftgraph.functions import predicates as P
 from weftgraph.functions import text as X
@@ -80,6 +81,14 @@ def _overlap(g: Graph) -> DataFrame:
     return A.community_overlap(g.nodes.select("id", "community"), g.nodes.select("id", F.col("community") % 7))
 
 
+@query("community_remap", """, o AS (SELECT community AS c, community % 7 AS old, count(*) AS n, min(id) AS least FROM nodes GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY n DESC, c) AS r FROM o),
+    free AS (SELECT x, row_number() OVER (ORDER BY x) AS k FROM range(0, 1000) t(x) WHERE x NOT IN (SELECT old FROM o)), late AS (SELECT c, row_number() OVER (ORDER BY n DESC, least) AS k FROM r WHERE r > 1)
+    SELECT c::INT AS new_id, old::INT AS old_id FROM r WHERE r = 1 UNION ALL SELECT c, x::INT FROM late JOIN free USING (k)""")
+def _remap(g: Graph) -> DataFrame:
+    matched = A.remap_communities(g.nodes.select("id", "community"), g.nodes.select("id", F.col("community") % 7))
+    return g.nodes.sparkSession.createDataFrame(sorted(matched.items()), "new_id int, old_id int")
+
+
 _SURPRISE = """, d AS (SELECT n.*, degree FROM nodes n JOIN degrees USING (id)),
     ok AS (SELECT * FROM d WHERE label <> regexp_extract(source_file, '[^/]*$') AND NOT ends_with(label, '()')),
     s AS (SELECT e.src, e.dst, e.relation, e.confidence,
@@ -186,42 +195,48 @@ def _suffixes(g: Graph) -> DataFrame:
 
 
 def _origins(g: Graph) -> DataFrame:
-    """Two rows for each part and supplier: an extracted one, and a semantic one of the same label (parts share labels)."""
-    base = g.nodes.where("id LIKE 'part:%' OR id LIKE 'supplier:%'").select("id", "label", "source_file", "file_type")
+    """Two rows for each node: an extracted one, and a semantic one of the same label (parts share labels)."""
+    base = g.nodes.select("id", "label", "source_file", "file_type")
     ast = base.withColumn("origin", F.lit("ast"))
     ghost = base.select(F.concat(F.lit("g/"), F.col("id")).alias("id"), "label", "source_file", "file_type", F.lit(None).cast("string").alias("origin"))
     return ast.union(ghost)
 
 
-_ORIGINS = """, o AS (SELECT id, label, source_file, 'ast' AS origin FROM nodes WHERE id LIKE 'part:%' OR id LIKE 'supplier:%' UNION ALL SELECT 'g/' || id, label, source_file, NULL FROM nodes WHERE id LIKE 'part:%' OR id LIKE 'supplier:%')"""
+_ORIGINS = """, o AS (SELECT id, label, source_file, 'ast' AS origin FROM nodes UNION ALL SELECT 'g/' || id, label, source_file, NULL FROM nodes)"""
 query("ghost_merge", _ORIGINS + """, a AS (SELECT source_file, label, min(id) AS survivor FROM o WHERE origin = 'ast' GROUP BY 1, 2 HAVING count(*) = 1)
     SELECT id, survivor FROM o JOIN a USING (source_file, label) WHERE origin IS NULL""")(lambda g: B.ghost_merge(_origins(g)))
 query("node_confidence_stamp", _ORIGINS + """SELECT CASE WHEN origin = 'ast' THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence, CASE WHEN origin = 'ast' THEN 1.0::DOUBLE WHEN id LIKE '%3' THEN 0.2::DOUBLE ELSE 0.55::DOUBLE END AS confidence_score, count(*) AS n
     FROM (SELECT *, CASE WHEN origin IS NULL AND id LIKE '%3' THEN 1 END v FROM o) GROUP BY 1, 2""")(
     lambda g: B.stamp_confidence(_origins(g).withColumn("verification", F.when(F.col("origin").isNull() & F.col("id").like("%3"), "unverified"))).groupBy("confidence", "confidence_score").agg(F.count(F.lit(1)).alias("n"))
 )
-query("unique_stub_rewire", """, s AS (SELECT 'stub:' || label AS id, label FROM (SELECT DISTINCT label FROM nodes WHERE id NOT LIKE 'order%')), d AS (SELECT label, min(id) AS target FROM nodes GROUP BY 1 HAVING count(*) = 1)
+query("unique_stub_rewire", """, s AS (SELECT 'stub:' || label AS id, label FROM (SELECT DISTINCT label FROM nodes)), d AS (SELECT label, min(id) AS target FROM nodes GROUP BY 1 HAVING count(*) = 1)
     SELECT id, target FROM s JOIN d USING (label)""")(
-    lambda g: B.rewire_stubs(g.nodes.select("id", "label", "source_file").union(g.nodes.where("id NOT LIKE 'order%'").select("label").distinct().select(F.concat(F.lit("stub:"), F.col("label")), "label", F.lit(None).cast("string"))))
+    lambda g: B.rewire_stubs(g.nodes.select("id", "label", "source_file").union(g.nodes.select("label").distinct().select(F.concat(F.lit("stub:"), F.col("label")), "label", F.lit(None).cast("string"))))
 )
-query("id_collision_survivor", """, t AS (SELECT 'c' || community AS id, label, source_file FROM nodes WHERE id NOT LIKE 'order%')
+query("id_collision_survivor", """, t AS (SELECT 'c' || community AS id, label, source_file FROM nodes)
     SELECT id, label, source_file FROM (SELECT DISTINCT *, row_number() OVER (PARTITION BY id ORDER BY length(label), label, source_file) r FROM t) WHERE r = 1""")(
-    lambda g: B.id_survivors(g.nodes.where("id NOT LIKE 'order%'").select(F.concat(F.lit("c"), F.col("community").cast("string")).alias("id"), "label", "source_file"))
-)
-query("raw_call_resolution", """, d AS (SELECT label AS callee, min(id) AS target, count(*) k, min(source_file) f FROM nodes WHERE id LIKE 'part:%' GROUP BY 1),
-    r AS (SELECT DISTINCT e.src AS caller, n.label AS callee, 'part/' || n.source_file AS file FROM edges e JOIN nodes n ON e.dst = n.id WHERE relation = 'uses')
-    SELECT DISTINCT caller, target, 'INFERRED' AS confidence FROM r JOIN d USING (callee) WHERE k = 1""")(
-    lambda g: B.resolve_calls(
-        g.edges.where("relation = 'uses'").join(g.nodes.toDF("dst", *[f"n_{c}" for c in g.nodes.columns[1:]]), "dst").select(F.col("src").alias("caller"), F.col("n_label").alias("callee"), F.lit("orders/x.tbl").alias("source_file")).distinct(),
-        g.nodes.where("id LIKE 'part:%'"),
-    )
+    lambda g: B.id_survivors(g.nodes.select(F.concat(F.lit("c"), F.col("community").cast("string")).alias("id"), "label", "source_file"))
 )
+query("raw_call_resolution", """, defs AS (SELECT id AS target, label AS callee, source_file AS f FROM nodes WHERE id LIKE 'part:%' OR id LIKE 'customer:%'),
+    calls AS (SELECT DISTINCT e.src AS caller, n.label AS callee, CASE WHEN ends_with(e.src, '3') THEN n.source_file WHEN ends_with(e.src, '7') THEN 'part/x.tbl' ELSE 'orders/x.tbl' END AS f
+        FROM edges e JOIN nodes n ON e.dst = n.id WHERE relation IN ('uses', 'calls')),
+    met AS (SELECT caller, callee, target, CASE WHEN calls.f = defs.f THEN 0 WHEN split_part(calls.f, '/', 1) = split_part(defs.f, '/', 1) THEN 1 ELSE 2 END AS rank FROM calls JOIN defs USING (callee)),
+    per AS (SELECT caller, callee, rank, count(*) AS k, min(target) AS target FROM met GROUP BY 1, 2, 3),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY caller, callee ORDER BY rank) AS r FROM per) WHERE r = 1 AND k = 1)
+    SELECT DISTINCT caller, target, CASE WHEN rank = 0 THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence FROM best""")(lambda g: B.resolve_calls(_raw_calls(g), g.nodes.where("id LIKE 'part:%' OR id LIKE 'customer:%'")))
+
 
+def _raw_calls(g: Graph) -> DataFrame:
+    """Orders call what they use by its label, from a file that is that of a definition, in its folder, or elsewhere."""
+    named = g.nodes.select(F.col("id").alias("dst"), F.col("label").alias("callee"), F.col("source_file").alias("f"))
+    file = F.when(F.col("src").endswith("3"), F.col("f")).when(F.col("src").endswith("7"), "part/x.tbl").otherwise("orders/x.tbl")
+    return g.edges.where("relation IN ('uses', 'calls')").join(named, "dst").select(F.col("src").alias("caller"), "callee", file.alias("source_file")).distinct()
 
-@query("hyperedge_remap", """, h AS (SELECT source_file AS id, id AS member FROM nodes WHERE id NOT LIKE 'order%'), m AS (SELECT DISTINCT id, regexp_replace(member, '[13579]$', '0') AS member FROM h)
+
+@query("hyperedge_remap", """, h AS (SELECT source_file AS id, id AS member FROM nodes), m AS (SELECT DISTINCT id, regexp_replace(member, '[13579]$', '0') AS member FROM h)
     SELECT id, count(*) AS n_members, sha256(string_agg(member, ',' ORDER BY member)) AS members FROM m GROUP BY 1""")
 def _hyper(g: Graph) -> DataFrame:
-    n = g.nodes.where("id NOT LIKE 'order%'")
+    n = g.nodes
     hyper = n.groupBy(F.col("source_file").alias("id")).agg(F.min("source_file").alias("label"), F.array_sort(F.collect_list("id")).alias("nodes"))
     mapping = n.where(F.col("id").rlike("[13579]$")).select("id", F.regexp_replace("id", "[13579]$", "0").alias("survivor"))
     out = B.remap_hyperedges(hyper, mapping)
@@ -248,18 +263,44 @@ _SCORE = """, t AS (SELECT term, ln(1 + count(*) / (1 + count(*) FILTER (contain
         + CASE WHEN NOT (ex OR pre OR sub) AND jw >= 0.85 THEN 2 * w * jw ELSE 0 END) AS flat, count(*) FILTER (ex OR pre OR sub) AS matched FROM m GROUP BY 1, 2),
     s AS (SELECT id, label, round(flat + tiered * (matched / 3.0) * (matched / 3.0), 6) AS score FROM g)
     SELECT id, label, score FROM s WHERE score > 0"""
+
+
+def _scored(g: Graph) -> DataFrame:
+    nodes = R.normed(g.nodes)
+    return R.score_nodes(nodes, R.prepare(nodes, QUESTION), fuzzy=False)
+
+
 _rounded = lambda df: df.select("id", "label", F.round("score", 6).alias("score"))
-query("lexical_score", _SCORE.replace("JW", "0.0"))(lambda g: _rounded(R.score_nodes(g.nodes, R.prepare(g.nodes, QUESTION), fuzzy=False)))
+query("lexical_score", _SCORE.replace("JW", "0.0"))(lambda g: _rounded(_scored(g)))
 query("hybrid_rank", _SCORE.replace("JW", "jaro_winkler_similarity(term, lower(label))") + " ORDER BY score DESC, length(label), id LIMIT 10")(lambda g: _rounded(R.hybrid_search(g, QUESTION)))
-query("fuzzy_tier", """SELECT id, round(jaro_winkler_similarity('suplier#1', lower(label)), 6) AS sim FROM nodes WHERE id LIKE 'supplier%'""")(
-    lambda g: g.nodes.where("id LIKE 'supplier%'").select("id", F.round(X.jaro_winkler_column("suplier#1", F.lower("label")), 6).alias("sim"))
+query("fuzzy_tier", """SELECT id, round(jaro_winkler_similarity('suplier#1', lower(label)), 6) AS sim FROM nodes""")(
+    lambda g: g.nodes.select("id", F.round(X.jaro_winkler_column("suplier#1", F.lower("label")), 6).alias("sim"))
 )
 
 
-@query("pick_seeds")
+_SEEDS = _SCORE.replace("JW", "0.0").replace("SELECT id, label, score FROM s WHERE score > 0", "") + """, kept AS (SELECT * FROM (SELECT id, label, score, row_number() OVER (PARTITION BY lower(label) ORDER BY score DESC, length(label), id) AS r FROM s WHERE score > 0) WHERE r = 1),
+    top3 AS (SELECT *, row_number() OVER (ORDER BY score DESC, length(label), id) AS k FROM kept), first AS (SELECT id, lower(label) AS key, k FROM top3 WHERE k <= 3 AND score >= 0.2 * (SELECT max(score) FROM kept)),
+    one AS (SELECT m.id, m.label, t.term, CASE WHEN ex OR tok = t.term OR lower(m.id) = t.term THEN 10000 * t.w WHEN pre OR starts_with(tok, t.term) THEN 1000 * t.w ELSE 0 END
+        + CASE WHEN ex THEN 1000 * t.w WHEN pre THEN 100 * t.w WHEN sub THEN t.w ELSE 0 END + CASE WHEN in_src THEN 0.5 * t.w ELSE 0 END AS score
+        FROM (SELECT *, trim(regexp_replace(l, '[^a-z0-9]+', ' ', 'g')) AS tok FROM m) m JOIN t ON m.term = t.term),
+    best AS (SELECT * FROM (SELECT one.*, row_number() OVER (PARTITION BY term ORDER BY score DESC, degree DESC, length(label), id) AS r FROM one JOIN degrees USING (id) WHERE score > 0) WHERE r = 1),
+    more AS (SELECT id, term, row_number() OVER (PARTITION BY lower(label) ORDER BY term) AS r FROM best WHERE id NOT IN (SELECT id FROM first) AND lower(label) NOT IN (SELECT key FROM first))
+    SELECT (row_number() OVER (ORDER BY part, k, term) - 1)::INT AS ord, id FROM (SELECT 1 AS part, k, '' AS term, id FROM first UNION ALL SELECT 2, 0, term, id FROM more WHERE r = 1)"""
+
+
+@query("pick_seeds", _SEEDS.replace("t.w, lower(label) AS l", "t.w, t.term, lower(label) AS l"))
 def _seeds(g: Graph) -> DataFrame:
-    found = written(R.score_nodes(g.nodes, R.prepare(g.nodes, QUESTION), fuzzy=False))
-    return g.nodes.sparkSession.createDataFrame(list(enumerate(R.pick_seeds(found, g))), "ord int, id string")
+    seeds = R.pick_seeds(written(_scored(g)), g, terms=X.query_terms(QUESTION))
+    return g.nodes.sparkSession.createDataFrame(list(enumerate(seeds)), "ord int, id string")
+
+
+@query("query_terms", r"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower('where is get_user_' || conv_id || ' in Café über ' || coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM conversations),
+    t AS (SELECT conv_id, turn, list_filter(flatten(list_transform(ws, lambda x: regexp_extract_all(x, '[\p{L}\p{N}_]+'))), lambda x: length(x) > 2 OR NOT regexp_full_match(x, '[a-z]*')) AS ts FROM w),
+    s AS (SELECT conv_id, turn, ts, list_filter(ts, lambda x: NOT list_contains([""" + ", ".join(f"'{w}'" for w in sorted(X.STOPWORDS)) + """], x)) AS content FROM t)
+    SELECT conv_id, turn, array_to_string(CASE WHEN len(content) > 0 THEN content ELSE ts END, ' ') AS terms FROM s""", graph=False)
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.concat(F.lit("where is get_user_"), F.col("conv_id").cast("string"), F.lit(" in Café über "), F.coalesce("text", F.lit("")))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(X.terms(asked), " ").alias("terms"))
 
 
 @query("vector_tier", """, q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
@@ -307,36 +348,34 @@ def _path(g: Graph) -> DataFrame:
     return g.nodes.sparkSession.createDataFrame(list(enumerate(path)), "ord int, id string")
 
 
-@query("import_cycles", """, e AS (SELECT DISTINCT 'f' || (user_id % 25) AS src, 'f' || (event_id % 23) AS dst FROM events WHERE event_type = 'signup' AND user_id % 25 <> event_id % 23 AND event_id % 5 = 0),
+@query("import_cycles", """, k AS (SELECT count(*) // 3 AS n FROM events), e AS (SELECT DISTINCT 'f' || (event_id // 3) AS src, 'f' || ((event_id * 7919 + user_id) % n) AS dst FROM events, k WHERE event_id // 3 <> (event_id * 7919 + user_id) % n),
     w2 AS (SELECT [src, dst] AS p, dst AS z FROM e WHERE src < dst), w3 AS (SELECT list_append(p, dst) AS p, dst AS z FROM w2 JOIN e ON z = src WHERE dst > p[1] AND NOT list_contains(p, dst)),
-    c AS (SELECT 2 AS length, p FROM w2 JOIN e ON z = src AND dst = p[1] UNION ALL SELECT 3, p FROM w3 JOIN e ON z = src AND dst = p[1])
-    SELECT length, array_to_string(p, ' -> ') AS cycle FROM c""", graph=False)
+    w4 AS (SELECT list_append(p, dst) AS p, dst AS z FROM w3 JOIN e ON z = src WHERE dst > p[1] AND NOT list_contains(p, dst)), w5 AS (SELECT list_append(p, dst) AS p, dst AS z FROM w4 JOIN e ON z = src WHERE dst > p[1] AND NOT list_contains(p, dst)),
+    c AS (SELECT p FROM w2 JOIN e ON z = src AND dst = p[1] UNION ALL SELECT p FROM w3 JOIN e ON z = src AND dst = p[1] UNION ALL SELECT p FROM w4 JOIN e ON z = src AND dst = p[1] UNION ALL SELECT p FROM w5 JOIN e ON z = src AND dst = p[1])
+    SELECT len(p)::INT AS length, array_to_string(p, ' -> ') AS cycle FROM c""", graph=False)
 def _cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda c, m: F.concat(F.lit("f"), (F.col(c) % m).cast("string"))
-    e = _table(spark, sf_dir, "events").where("event_type = 'signup' AND event_id % 5 = 0").select(at("user_id", 25).alias("src"), at("event_id", 23).alias("dst"))
-    return T.import_cycles(e, longest=3)
+    """Every event is an import: a file holds three, and each leads to a file by rule."""
+    events = _table(spark, sf_dir, "events")
+    n = F.lit(events.count() // 3)
+    file = lambda x: F.concat(F.lit("f"), x.cast("bigint").cast("string"))
+    return T.import_cycles(events.select(file(F.floor(F.col("event_id") / 3)).alias("src"), file((F.col("event_id") * 7919 + F.col("user_id")) % n).alias("dst")))
 
 
-@query("connected_components", """, e AS (SELECT DISTINCT * FROM edges WHERE relation = 'references' AND src LIKE 'supplier%') SELECT n.id, least(n.id, coalesce(m.least, n.id)) AS component FROM nodes n LEFT JOIN e ON n.id = e.src
-    LEFT JOIN (SELECT dst, min(least(src, dst)) AS least FROM e GROUP BY 1) m ON m.dst = coalesce(e.dst, n.id) WHERE n.id NOT LIKE 'order%'""")
-def _components(g: Graph) -> DataFrame:
-    return T.connected_components(g.nodes.where("id NOT LIKE 'order%'").select("id"), g.edges.where("relation = 'references' AND src LIKE 'supplier%'"))
+@query("connected_components", """WITH b AS (SELECT event_id, user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1 DAY THEN 0 ELSE 1 END AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM b) SELECT 'e' || event_id AS id, min('e' || event_id) OVER (PARTITION BY user_id, s) AS component FROM s""", graph=False)
+def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user that follow each other within a day form chains of many hops."""
+    events = _table(spark, sf_dir, "events")
+    name = F.concat(F.lit("e"), F.col("event_id").cast("string"))
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    near = F.col("ts") - F.lag("ts").over(order) <= F.expr("INTERVAL 1 DAY")
+    steps = events.select(name.alias("src"), F.when(near, F.lag(name).over(order)).alias("dst")).where("dst IS NOT NULL")
+    return T.connected_components(events.select(name.alias("id")), steps)
 
 
-def _small(g: Graph) -> Graph:
-    """Regions, nations and suppliers: a graph for algorithms that are quadratic by nature."""
-    keep = "id LIKE 'region%' OR id LIKE 'nation%' OR id LIKE 'supplier%'"
-    return Graph(g.nodes.where(keep), g.edges.where("src LIKE 'nation%' OR src LIKE 'supplier%'"))
-
-
-@query("betweenness_topk")
-def _betweenness(g: Graph) -> DataFrame:
-    return T.betweenness(_small(g)).orderBy(F.desc("betweenness"), "id").limit(10)
-
-
-@query("community_detection")
-def _detect(g: Graph) -> DataFrame:
-    return C.detect(_small(g))
+query("graph_components")(lambda g: T.connected_components(g.nodes.select("id"), g.edges))
+query("betweenness_topk")(lambda g: T.betweenness(g).orderBy(F.desc("betweenness"), "id").limit(10))
+query("community_detection", once=True)(lambda g: C.detect(g))
 
 
 @query("dfs_order")
@@ -349,14 +388,14 @@ def _dfs(g: Graph) -> DataFrame:
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First lines of documents as entities: labels with exact and near repeats."""
-    line = F.substring(F.split("text", "\n")[0], 1, 60)
+    line = F.split("text", "\n")[0]
     return _table(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), line.alias("label"), F.lit("concept").alias("file_type"), F.concat(F.col("source"), F.lit(".md")).alias("source_file"),
         F.lit(None).cast("int").alias("community"),
     )
 
 
-_ENT = """WITH ent AS (SELECT 'd' || doc_id AS id, substr(string_split(text, chr(10))[1], 1, 60) AS label, source || '.md' AS source_file FROM documents),
+_ENT = """WITH ent AS (SELECT 'd' || doc_id AS id, string_split(text, chr(10))[1] AS label, source || '.md' AS source_file FROM documents),
     nrm AS (SELECT *, trim(regexp_replace(replace(lower(label), 'ß', 'ss'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm FROM ent)"""
 
 
@@ -409,6 +448,16 @@ def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.tag_vocabulary(_table(spark, sf_dir, "part").select(F.array("p_type", "p_brand").alias("tags")))
 
 
+@query("canonical_tags", """WITH v AS (SELECT DISTINCT lower(split_part(p_name, ' ', 2)) AS tag FROM part), t AS (SELECT DISTINCT lower(split_part(p_name, ' ', 2)) || CASE p_partkey % 4 WHEN 0 THEN 's' WHEN 1 THEN 'es' WHEN 2 THEN '' ELSE '_x' END AS tag FROM part),
+    f AS (SELECT tag, 0 AS rank, tag AS v FROM t UNION ALL SELECT tag, 1, left(tag, -1) FROM t WHERE ends_with(tag, 's') AND NOT ends_with(tag, 'ss') UNION ALL SELECT tag, 2, left(tag, -2) FROM t WHERE ends_with(tag, 'es') UNION ALL SELECT tag, 3, tag || 's' FROM t),
+    h AS (SELECT f.tag, min({'r': rank, 'v': v.tag}) AS m FROM f JOIN v ON f.v = v.tag GROUP BY 1) SELECT t.tag, coalesce(h.m.v, t.tag) AS canonical FROM t LEFT JOIN h USING (tag)""", graph=False)
+def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    noun = F.split("p_name", " ")[1]
+    ending = F.when(F.col("p_partkey") % 4 == 0, "s").when(F.col("p_partkey") % 4 == 1, "es").when(F.col("p_partkey") % 4 == 2, "").otherwise("_x")
+    return E.canonical_tags(part.select(F.concat(noun, ending).alias("tag")), E.tag_vocabulary(part.select(F.array(noun).alias("tags"))))
+
+
 # -- graph maintenance
 
 
@@ -435,21 +484,32 @@ query("prune_sources", """, kept AS (SELECT * FROM nodes WHERE source_file NOT L
 query("loss_guard", """SELECT id, source_file FROM nodes WHERE id LIKE '%4' AND id NOT LIKE 'order%'""")(
     lambda g: M.lost_nodes(g, Graph(g.nodes.where("id NOT LIKE '%4'"), g.edges), g.nodes.where("id LIKE 'order%'")).select("id", "source_file")
 )
-query("prefix_global", "SELECT 'shop::' || id AS id, id AS local_id, 'shop' AS repo, community + 1000 AS community FROM nodes WHERE id NOT LIKE 'order%'")(
-    lambda g: M.prefixed(Graph(g.nodes.where("id NOT LIKE 'order%'"), g.edges), "shop", 1000).nodes.select("id", "local_id", "repo", "community")
+query("prefix_global", "SELECT 'shop::' || id AS id, id AS local_id, 'shop' AS repo, community + 1000 AS community FROM nodes")(
+    lambda g: M.prefixed(g, "shop", 1000).nodes.select("id", "local_id", "repo", "community")
 )
 query("prune_repo", "SELECT relation, count(*) AS n FROM edges WHERE src NOT LIKE 'part%' AND dst NOT LIKE 'part%' GROUP BY 1")(
     lambda g: M.prune_repo(Graph(g.nodes.withColumn("repo", F.split("id", ":")[0]), g.edges), "part").edges.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 )
-query("graph_union", """SELECT split_part(id, ':', 1) AS kind, count(*) AS n FROM nodes GROUP BY 1""")(
-    lambda g: M.union_graphs(Graph(g.nodes.where("id LIKE '%1'"), g.edges.limit(0)), g).nodes.groupBy(F.split("id", ":")[0].alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-)
-query("external_label_dedup", """, x AS (SELECT id, label, min(id) OVER (PARTITION BY label) AS survivor FROM nodes WHERE id LIKE 'part%') SELECT id, survivor FROM x WHERE id <> survivor""")(
-    lambda g: M.merge_externals(g.nodes.where("id LIKE 'part%'").withColumn("source_file", F.lit("")))
+@query("graph_union", """, n2 AS (SELECT id, CASE WHEN id LIKE '%1' THEN NULL ELSE label END AS label, community + 5 AS community FROM nodes WHERE id NOT LIKE '%2'),
+    e2 AS (SELECT src, dst, relation, 'AMBIGUOUS' AS confidence, weight + 1 AS weight FROM edges WHERE dst LIKE '%1')
+    SELECT 'node' AS kind, id AS key, coalesce(n2.label, nodes.label) AS label, coalesce(n2.community, nodes.community)::DOUBLE AS value FROM nodes LEFT JOIN n2 USING (id)
+    UNION ALL SELECT 'edge', src || '|' || dst || '|' || relation, coalesce(e2.confidence, edges.confidence), coalesce(e2.weight, edges.weight) FROM edges LEFT JOIN e2 USING (src, dst, relation)""")
+def _union(g: Graph) -> DataFrame:
+    """The graph and a later one that states other communities, fewer labels, and other weights of some edges."""
+    n = g.nodes.where("id NOT LIKE '%2'").withColumns({"label": F.when(~F.col("id").like("%1"), F.col("label")), "community": F.col("community") + 5})
+    e = g.edges.where("dst LIKE '%1'").withColumns({"confidence": F.lit("AMBIGUOUS"), "weight": F.col("weight") + 1})
+    u = M.union_graphs(g, Graph(n, e))
+    nodes = u.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("key"), "label", F.col("community").cast("double").alias("value"))
+    return nodes.union(u.edges.select(F.lit("edge"), F.concat_ws("|", "src", "dst", "relation"), "confidence", "weight"))
+
+
+query("external_label_dedup", """, x AS (SELECT id, label, min(id) OVER (PARTITION BY label) AS survivor FROM nodes) SELECT id, survivor FROM x WHERE id <> survivor""")(
+    lambda g: M.merge_externals(g.nodes.withColumn("source_file", F.lit("")))
 )
-query("cross_repo_types", """, t AS (SELECT min(id) AS id, label, split_part(source_file, '/', 2) AS repo FROM nodes WHERE id LIKE 'part%' GROUP BY 2, 3)
-    SELECT * FROM (SELECT id AS src, lead(id) OVER (PARTITION BY label ORDER BY repo) AS dst FROM t) WHERE dst IS NOT NULL""")(
-    lambda g: M.cross_repo_types(g.nodes.where("id LIKE 'part%'").select("id", "label", F.lit("parts").alias("namespace"), F.split("source_file", "/")[1].alias("repo")))
+query("cross_repo_types", """, t AS (SELECT id, label, split_part(id, ':', 1) AS ns, split_part(source_file, '/', 2) AS repo FROM nodes), k AS (SELECT ns, label, repo, count(*) AS k, min(id) AS least FROM t GROUP BY 1, 2, 3),
+    w AS (SELECT ns, label, sum(k) AS n, count(*) AS n_repos, min(least) AS class FROM k GROUP BY 1, 2 HAVING count(*) > 1)
+    SELECT id, class, n_repos, (n - k)::BIGINT AS n_links FROM t JOIN k USING (ns, label, repo) JOIN w USING (ns, label)""")(
+    lambda g: M.type_classes(g.nodes.select("id", "label", F.split("id", ":")[0].alias("namespace"), F.split("source_file", "/")[1].alias("repo")))
 )
 
 
@@ -556,9 +616,22 @@ query("html_to_text", """SELECT page_id, substr(trim(regexp_replace(regexp_repla
 query("page_links", """SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=["'']([^"''#]+)', 1)) AS href FROM pages) GROUP BY 1, 2""", graph=False)(
     lambda spark, sf_dir: D.html_links(_table(spark, sf_dir, "pages"))
 )
-query("path_classes", """, p AS (SELECT DISTINCT source_file AS path FROM nodes) SELECT path, NULL::VARCHAR AS category, false AS sensitive FROM p""")(
-    lambda g: g.nodes.select(F.col("source_file").alias("path")).distinct().select("path", P.classify_path(F.col("path")).alias("category"), D.is_sensitive(F.col("path")).alias("sensitive"))
-)
+_PATHS = (
+    (".env", None, True), ("main.py", "code", False), ("notes.md", "document", False), ("paper.pdf", "paper", False), ("logo.PNG", "image", False), ("talk.mp4", "video", False), ("id_rsa", None, True),
+    ("secrets/db.txt", "document", True), ("api_token.json", "code", True), ("noext", None, False), ("pyproject.toml", "code", False), ("view.blade.php", "code", False), ("server.pem", None, True), (".env.example", None, False),
+    ("internal/secrets/store.go", "code", False), ("x.zzz", None, False), ("table.xlsx", "document", False), ("Icon.imageset/icon.pdf", None, False),
+)
+
+
+@query("path_classes", "WITH n AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p}', {'NULL' if k is None else repr(k)}, {s})" for i, (p, k, s) in enumerate(_PATHS)) + f""") t(i, name, category, sensitive))
+    SELECT source || '/' || doc_id || '/' || name AS path, category, sensitive FROM documents JOIN n ON doc_id % {len(_PATHS)} = i""", graph=False)
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under a path of one of several kinds."""
+    names = F.array(*[F.lit(p) for p, *_ in _PATHS])
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"), F.get(names, (F.col("doc_id") % len(_PATHS)).cast("int")))
+    return _table(spark, sf_dir, "documents").select(path.alias("path")).select("path", P.classify_path(F.col("path")).alias("category"), D.is_sensitive(F.col("path")).alias("sensitive"))
+
+
 query("token_reduction", "SELECT floor(sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\x0B]+'), lambda w: w <> ''))) * 100 / 75)::BIGINT AS corpus_tokens, round(avg(length(text) // 4), 6) AS query_tokens, round(floor(sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\x0B]+'), lambda w: w <> ''))) * 100 / 75) / round(avg(length(text) // 4), 6), 6) AS reduction FROM documents", graph=False)(
     lambda spark, sf_dir: D.token_reduction(_table(spark, sf_dir, "documents"), D.token_estimate(F.col("text")))
 )
@@ -574,9 +647,7 @@ def _pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("session_debounce", """WITH e AS (SELECT ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 3 SECOND THEN 0 ELSE 1 END AS brk FROM events), s AS (SELECT *, sum(brk) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
     SELECT min(ts) AS "start", max(ts) + INTERVAL 3 SECOND AS "end", count(*) AS n FROM s GROUP BY s""", graph=False)(lambda spark, sf_dir: watch.debounce(_table(spark, sf_dir, "events")))
-query("cypher_export", """SELECT 'node' AS kind, 'MERGE (n:' || upper(file_type[1]) || file_type[2:] || ' {id: ''' || id || ''', label: ''' || replace(replace(label, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)) || '''});' AS value FROM nodes WHERE id NOT LIKE 'order%'
-    UNION ALL SELECT 'edge', 'MATCH (a {id: ''' || src || '''}), (b {id: ''' || dst || '''}) MERGE (a)-[:' || upper(relation) || ' {confidence: ''' || confidence || '''}]->(b);' FROM edges WHERE relation IN ('contains', 'references')""")(
-    lambda g: S.cypher(Graph(g.nodes.where("id NOT LIKE 'order%'"), g.edges.where("relation IN ('contains', 'references')")))
-)
-query("graphml_export", None)(lambda g: S.graphml(_small(g)))
-query("note_export", None)(lambda g: S.notes(_small(g)))
+query("cypher_export", """SELECT 'node' AS kind, 'MERGE (n:' || upper(file_type[1]) || file_type[2:] || ' {id: ''' || id || ''', label: ''' || replace(replace(label, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)) || '''});' AS value FROM nodes
+    UNION ALL SELECT 'edge', 'MATCH (a {id: ''' || src || '''}), (b {id: ''' || dst || '''}) MERGE (a)-[:' || upper(relation) || ' {confidence: ''' || confidence || '''}]->(b);' FROM edges""")(S.cypher)
+query("graphml_export", None, once=True)(S.graphml)
+query("note_export", None, once=True)(S.notes)
