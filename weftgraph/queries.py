@@ -209,6 +209,28 @@ query("node_confidence_stamp", _ORIGINS + """SELECT CASE WHEN origin = 'ast' THE
     FROM (SELECT *, CASE WHEN origin IS NULL AND id LIKE '%3' THEN 1 END v FROM o) GROUP BY 1, 2""")(
     lambda g: B.stamp_confidence(_origins(g).withColumn("verification", F.when(F.col("origin").isNull() & F.col("id").like("%3"), "unverified"))).groupBy("confidence", "confidence_score").agg(F.count(F.lit(1)).alias("n"))
 )
+@query("build_graph", _FLAWED + """, f AS (SELECT id, CASE WHEN id LIKE '%7' THEN NULL ELSE label END AS label, CASE WHEN id LIKE '%33' THEN 'code' ELSE file_type END AS file_type,
+        regexp_replace(source_file, '\\.tbl$', '') || CASE split_part(id, ':', 1) WHEN 'customer' THEN '.py' WHEN 'supplier' THEN '.go' WHEN 'part' THEN '.c' WHEN 'order' THEN '.js' ELSE '.tbl' END AS source_file FROM nodes),
+    one AS (SELECT source_file, label, min(id) AS id FROM f WHERE label IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 1), g AS (SELECT 'g/' || f.id AS id, f.label, f.file_type, one.id AS survivor FROM f LEFT JOIN one USING (source_file, label) WHERE f.id LIKE 'part:%'),
+    x AS (SELECT src, CASE WHEN src LIKE 'order:%4' AND dst LIKE 'part:%' THEN 'g/' || dst WHEN src LIKE '%99' THEN 'gone:' || dst WHEN src LIKE '%55' THEN upper(dst) ELSE dst END AS dst, relation, CASE WHEN src LIKE '%21' THEN 'GUESSED' ELSE confidence END AS confidence, weight FROM edges),
+    r AS (SELECT src, coalesce(g.survivor, CASE WHEN starts_with(dst, 'g/') THEN dst ELSE lower(dst) END) AS dst, relation, confidence, weight FROM x LEFT JOIN g ON x.dst = g.id WHERE NOT starts_with(dst, 'gone:') AND relation <> 'imports_from' AND NOT (relation = 'calls' AND confidence = 'INFERRED')),
+    b AS (SELECT *, src LIKE '%8' AND relation IN ('references', 'uses') AND src < dst AS turned FROM r)
+    SELECT 'node' AS kind, id AS key, label, file_type AS value FROM f UNION ALL SELECT 'node', id, label, file_type FROM g WHERE survivor IS NULL
+    UNION ALL SELECT 'edge', CASE WHEN turned THEN dst || '|' || src ELSE src || '|' || dst END, CASE WHEN turned THEN 'mentions' ELSE relation END, CASE WHEN turned THEN 'AMBIGUOUS' ELSE confidence END FROM b
+    UNION ALL SELECT 'edge', dst || '|' || src, 'mentions', 'AMBIGUOUS' FROM edges WHERE relation = 'imports_from' AND src LIKE '%8'""")
+def _build(g: Graph) -> DataFrame:
+    """Files under names of languages, flaws in nodes and edges, a semantic twin of each part that some orders use, and reverse mentions."""
+    flawed = _as_code(_flawed(g))
+    ast = flawed.nodes.withColumn("origin", F.lit("ast"))
+    twins = ast.where("id LIKE 'part:%'").withColumns({"id": F.concat(F.lit("g/"), F.col("id")), "origin": F.lit(None).cast("string")})
+    dst = F.when(F.col("src").like("order:%4") & F.col("dst").like("part:%"), F.concat(F.lit("g/"), F.col("dst"))).otherwise(F.col("dst"))
+    e = flawed.edges.withColumn("dst", dst)
+    back = g.edges.where("src LIKE '%8'").withColumns({"src": F.col("dst"), "dst": F.col("src"), "relation": F.lit("mentions"), "confidence": F.lit("AMBIGUOUS")}).select(e.columns)
+    built, _ = B.assemble(ast.union(twins.select(ast.columns)), e.union(back))
+    nodes = built.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("key"), "label", F.col("file_type").alias("value"))
+    return nodes.union(built.edges.select(F.lit("edge"), F.concat_ws("|", "src", "dst"), "relation", "confidence"))
+
+
 query("unique_stub_rewire", """, s AS (SELECT 'stub:' || label AS id, label FROM (SELECT DISTINCT label FROM nodes)), d AS (SELECT label, min(id) AS target FROM nodes GROUP BY 1 HAVING count(*) = 1)
     SELECT id, target FROM s JOIN d USING (label)""")(
     lambda g: B.rewire_stubs(g.nodes.select("id", "label", "source_file").union(g.nodes.select("label").distinct().select(F.concat(F.lit("stub:"), F.col("label")), "label", F.lit(None).cast("string"))))
