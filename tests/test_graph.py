@@ -180,6 +180,51 @@ def test_communities_do_not_depend_on_partitions_and_are_good(spark):
     assert values(first, "id", "community") == values(again, "id", "community")
 
 
+def test_hubs_rejoin_by_majority(spark):
+    left, right = [f"l{i}" for i in range(6)], [f"r{i}" for i in range(6)]
+    clique = lambda ns: [(a, b) for i, a in enumerate(ns) for b in ns[i + 1 :]]
+    edges = clique(left) + clique(right) + [("hub", n) for n in left + right[:4]]
+    g = graph(spark, [*left, *right, "hub", "lone"], edges)
+    of = dict(values(C.detect(g, exclude_over=95.0), "id", "community"))
+    assert of["hub"] == of["l0"] and len({of[n] for n in left}) == len({of[n] for n in right}) == 1 and of["l0"] != of["r0"] and set(of) == {*left, *right, "hub", "lone"}
+
+
+def test_bridges(spark):
+    nodes = [("a", "A", "code", "one.py", 0), ("b", "B", "code", "one.py", 0), ("c", "C", "code", "one.py", 1), ("d", "D", "code", "one.py", 2)]
+    e = [("a", "c", "calls", "call", "EXTRACTED"), ("c", "b", "uses", "call", "AMBIGUOUS"), ("a", "d", "imports", "call", "AMBIGUOUS"), ("d", "c", "calls", "call", "INFERRED"), ("a", "b", "calls", "call", "AMBIGUOUS")]
+    assert [(r["community"], r["other_community"], r["src"], r["dst"]) for r in A.bridges(graph(spark, nodes, e)).collect()] == [(0, 1, "c", "b"), (1, 2, "d", "c")]
+
+
+def test_calls_bind_along_the_longest_common_path(spark):
+    nodes = spark.createDataFrame([("t1", "go()", "a/b/c/one.py"), ("t2", "go()", "a/b/two.py"), ("t3", "go()", "z/three.py"), ("t4", "go()", "a/b/c/test_x.py")], "id string, label string, source_file string")
+    calls = spark.createDataFrame([("c1", "go", "a/b/c/main.py"), ("c2", "go", "a/b/d/main.py"), ("c3", "go", "y/main.py"), ("c4", "go", "a/b/c/test_x.py"), ("c5", "go", "a/b/two.py")], "caller string, callee string, source_file string")
+    got = {(r["caller"], r["target"], r["confidence"]) for r in B.resolve_calls(calls, nodes).collect()}
+    assert got == {("c1", "t1", "INFERRED"), ("c4", "t4", "EXTRACTED"), ("c5", "t2", "EXTRACTED")}
+
+
+def test_assemble(spark):
+    """The chain on a handful of rows: twins, ghosts, ends by normal form, numbers, phantoms, collapse, hyperedges, labels."""
+    n = spark.createDataFrame(
+        [
+            ("m_run", "run()", "code", "src/m.py", "ast"), ("sem_run", "run()", "tool", ".\\src\\m.py", None), ("doc", "D", "document", "d.md", None), ("doc_doc", "D", "markdown", "d.md", None),
+            ("g", "g()", "code", "x/g.go", "ast"), ("f1", "i.ts", "code", "a/i.ts", "ast"), ("f2", "i.ts", "code", "b/i.ts", "ast"),
+        ],
+        "id string, label string, file_type string, source_file string, origin string",
+    )
+    e = spark.createDataFrame(
+        [
+            ("sem_run", "doc", "references", "EXTRACTED", "nan", ""), ("M-Run", "g", "calls", "INFERRED", "1", ""), ("f1", "f2", "imports", "EXTRACTED", "2", "a/i.ts"), ("f2", "f1", "references", "EXTRACTED", "1", "b/i.ts"),
+            ("f1", "F1", "imports", "EXTRACTED", "1", "a/i.ts"), ("f1", "gone", "calls", "EXTRACTED", "1", ""),
+        ],
+        "src string, dst string, relation string, confidence string, weight string, source_file string",
+    )
+    h = spark.createDataFrame([("h", "H", ["sem_run", "gone", "m_run", "g"])], "id string, label string, nodes array<string>")
+    got, hyper = B.assemble(n, e, h)
+    assert values(got.nodes, "id", "label") == [("doc_doc", "D"), ("f1", "a/i.ts"), ("f2", "b/i.ts"), ("g", "g()"), ("m_run", "run()")]
+    assert values(got.edges, "src", "dst", "relation", "weight", "source_file") == [("f1", "f2", "imports", 2.0, "a/i.ts"), ("m_run", "doc_doc", "references", 1.0, "src/m.py")]
+    assert [tuple(r) for r in hyper.collect()] == [("h", "H", ["m_run", "g"])]
+
+
 def test_retrieval(spark):
     nodes = [("u1", "UserService", "code", "src/user.py", 0), ("u2", "user", "code", "src/user.py", 0), ("o", "OrderService", "code", "src/order.py", 1), ("c", "Café", "concept", "doc.md", 1), ("f", "run()", "code", "src/user.py", 1)]
     g = graph(spark, nodes, [("u1", "u2"), ("o", "u1")])

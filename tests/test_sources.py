@@ -130,3 +130,49 @@ def test_contract(spark):
     assert set(o) <= set(q) and len(q) >= 75
     got = __spark_entry__.entry(spark).collect()
     assert len(got) == 10 and got == sorted(got, key=lambda r: (-r["degree"], r["id"]))
+
+
+def archive(members):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in members.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_office_files(spark):
+    from weftgraph.sources.office import office_texts
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    p = lambda text, style="": f"<w:p>{f'<w:pPr><w:pStyle w:val={chr(34)}{style}{chr(34)}/></w:pPr>' if style else ''}<w:r><w:t>{text}</w:t></w:r></w:p>"
+    cell = lambda text: f"<w:tc>{p(text)}</w:tc>"
+    table = f"<w:tbl><w:tr>{cell('a')}{cell('b')}</w:tr><w:tr>{cell('1')}{cell('2')}</w:tr></w:tbl>"
+    docx = archive({"word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{p("Title", "Heading1")}{table}{p("plain")}{p("item", "ListParagraph")}</w:body></w:document>'})
+    s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    xlsx = archive({
+        "xl/workbook.xml": f'<workbook {s} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="One" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f"<sst {s}><si><t>name</t></si><si><r><t>si</t></r><r><t>ze</t></r></si></sst>",
+        "xl/worksheets/sheet1.xml": f'<worksheet {s}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row/><row><c r="A3" t="inlineStr"><is><t>x</t></is></c><c r="C3"><v>4.5</v></c></row></sheetData></worksheet>',
+    })
+    bomb = archive({"word/document.xml": '<!DOCTYPE a [<!ENTITY b "c">]><a>&b;</a>'})
+    files = spark.createDataFrame([("a/x.docx", docx), ("b.XLSX", xlsx), ("bad.docx", b"nope"), ("none.docx", None), ("bomb.docx", bomb), ("t.txt", b"x")], "path string, content binary")
+    got = {r["path"]: r["text"] for r in office_texts(files).collect()}
+    assert got["a/x.docx"] == "# Title\nplain\n- item\n| a | b |\n| --- | --- |\n| 1 | 2 |"
+    assert got["b.XLSX"] == "## Sheet: One\n| name |  | size |\n| --- | --- | --- |\n| x |  | 4.5 |"
+    assert got["bad.docx"] == got["none.docx"] == got["bomb.docx"] == "" and len(got) == 5
+
+
+def test_cargo_workspace(spark):
+    from weftgraph.sources.readers import cargo_workspace
+
+    files = [
+        ("Cargo.toml", '[workspace]\nmembers = ["a", "b"]'), ("a/Cargo.toml", '[package]\nname = "a"\n[dependencies]\nserde = "1"\ndb = { path = "../b", package = "b-core" }'),
+        ("b/Cargo.toml", '[package]\nname = "b-core"\n[dependencies]\na = { path = "../a" }'), ("c/Cargo.toml", "not = [toml"), ("x/Other.toml", '[package]\nname = "z"'),
+    ]
+    g = cargo_workspace(spark.createDataFrame(files, "path string, text string"))
+    assert sorted((r["id"], r["source_file"]) for r in g.nodes.collect()) == [("crate:a", "a/Cargo.toml"), ("crate:b-core", "b/Cargo.toml")]
+    assert sorted((r["src"], r["dst"], r["source_file"]) for r in g.edges.collect()) == [("crate:a", "crate:b-core", "a/Cargo.toml"), ("crate:b-core", "crate:a", "b/Cargo.toml")]

@@ -148,6 +148,21 @@ def surprises(graph: Graph, n: int | None = 5) -> DataFrame:
     return ranked.orderBy(F.desc("score"), "src", "dst", "relation").limit(n) if n else ranked
 
 
+def bridges(graph: Graph, n: int | None = 5) -> DataFrame:
+    """One edge for each pair of communities that edges join: the least certain, ties by ids and relation.
+
+    For a corpus of one file, which has no edges across files to be surprised at.
+    """
+    own = with_degree(graph).where(~P.is_file_node(F.col("label"), F.col("source_file"), F.col("degree"))).select("id", "community")
+    e = graph.edges.where(~F.col("relation").isin(*STRUCTURAL)).select("src", "dst", "relation", "confidence")
+    both = e.join(own.toDF("src", "x"), "src").join(own.toDF("dst", "y"), "dst").where("x <> y")
+    rank = F.when(F.col("confidence") == "AMBIGUOUS", 0).when(F.col("confidence") == "INFERRED", 1).when(F.col("confidence") == "EXTRACTED", 2).otherwise(3)
+    best = F.min(F.struct(rank.alias("rank"), "src", "dst", "relation", "confidence"))
+    pairs_ = both.groupBy(F.least("x", "y").alias("community"), F.greatest("x", "y").alias("other_community")).agg(best.alias("m"))
+    out = pairs_.select("community", "other_community", "m.src", "m.dst", "m.relation", "m.confidence", "m.rank")
+    return (out.orderBy("rank", "src", "dst", "relation").limit(n) if n else out).drop("rank")
+
+
 def learn_scores(graph: Graph) -> DataFrame:
     """2 * fan-in + degree / 2 + 0.3 * fan-out of every node."""
     e = graph.edges.select("src", "dst").where("src <> dst").distinct()

@@ -73,14 +73,42 @@ def moved(pairs: DataFrame) -> DataFrame:
     return of
 
 
-def detect(graph: Graph, large: float = LARGE) -> DataFrame:
+def hubs(graph: Graph, pairs: DataFrame, percentile: float) -> DataFrame:
+    """(id) of nodes whose degree is over that of the given percentile of all nodes."""
+    n = graph.nodes.count()
+    degree = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree")))
+    at = max(0, int(n * percentile / 100) - 1)
+    over = F.sum("k").over(Window.orderBy(F.desc("degree")))  # a row for each distinct degree
+    by = degree.groupBy("degree").agg(F.count(F.lit(1)).alias("k")).withColumn("over", over)
+    limit = by.where(F.col("over") >= n - at).agg(F.max("degree")).first()[0] or 0
+    return degree.where(F.col("degree") > limit).select("id")
+
+
+def reattached(pairs: DataFrame, of: DataFrame, out: DataFrame) -> DataFrame:
+    """(id, c) of the nodes ``out``: the community of most neighbours, ties by name."""
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    votes = both.join(out, "id").join(of.toDF("other", "c"), "other").groupBy("id", "c").agg(F.count(F.lit(1)).alias("n"))
+    return votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "c")).alias("m")).select("id", "m.c")
+
+
+def detect(graph: Graph, large: float = LARGE, exclude_over: float | None = None) -> DataFrame:
     """(id, community): every node once; 0 is the largest, ties by least member; isolates are alone.
 
     Communities of over ``large`` of all nodes, and loose ones, are clustered anew on their own edges.
+    With ``exclude_over``, a percentile, nodes of higher degree are left out and then join the community
+    of most of their neighbours.
     """
     n_all = graph.nodes.count()
     pairs = written(weighted_pairs(graph.edges))
-    of = moved(pairs)
+    if exclude_over is None:
+        of = moved(pairs)
+    else:
+        out = written(hubs(graph, pairs, exclude_over))
+        inner = pairs.join(out.toDF("a"), "a", "left_anti").join(out.toDF("b"), "b", "left_anti").select("a", "b", "w")
+        kept = moved(inner)
+        alone = graph.nodes.select("id").join(out, "id", "left_anti").join(kept.select("id"), "id", "left_anti").select("id", F.col("id").alias("c"))
+        kept = written(kept.union(alone))
+        of = written(kept.union(reattached(pairs, kept, out)))
     inside = written(pairs.join(of.toDF("a", "c"), "a").join(of.toDF("b", "d"), "b").where("c = d").select("a", "b", "w", "c"))
     sizes = of.groupBy("c").agg(F.count(F.lit(1)).alias("n")).join(inside.groupBy("c").agg(F.count(F.lit(1)).alias("k")), "c", "left")
     loose = (F.col("n") >= LOOSE_NODES) & (F.coalesce("k", F.lit(0)) / (F.col("n") * (F.col("n") - 1) / 2) < LOOSE)

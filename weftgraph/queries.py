@@ -98,6 +98,10 @@ _SURPRISE = """, d AS (SELECT n.*, degree FROM nodes n JOIN degrees USING (id)),
     SELECT * FROM s"""
 query("surprise_score", _SURPRISE)(lambda g: A.surprises(g, None))
 query("surprising_connections", _SURPRISE + " ORDER BY score DESC, src, dst, relation LIMIT 5")(A.surprises)
+query("community_bridges", """, ok AS (SELECT n.* FROM nodes n JOIN degrees USING (id) WHERE label <> regexp_extract(source_file, '[^/]*$') AND NOT ends_with(label, '()')),
+    p AS (SELECT e.*, least(x.community, y.community) AS a, greatest(x.community, y.community) AS b, CASE confidence WHEN 'AMBIGUOUS' THEN 0 WHEN 'INFERRED' THEN 1 ELSE 2 END AS rank
+        FROM edges e JOIN ok x ON src = x.id JOIN ok y ON dst = y.id WHERE x.community <> y.community AND relation NOT IN ('imports', 'imports_from', 'contains', 'method'))
+    SELECT a AS community, b AS other_community, src, dst, relation, confidence FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY rank, src, dst, relation) AS r FROM p) WHERE r = 1""")(lambda g: A.bridges(g, None))
 query("learn_scores", """, e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), o AS (SELECT src AS id, count(*) c FROM e GROUP BY 1), i AS (SELECT dst AS id, count(*) c FROM e GROUP BY 1)
     SELECT id, coalesce(i.c, 0) AS fan_in, coalesce(o.c, 0) AS fan_out, degree, round(2 * coalesce(i.c, 0) + 0.5 * degree + 0.3 * coalesce(o.c, 0), 6)::DOUBLE AS score FROM degrees LEFT JOIN o USING (id) LEFT JOIN i USING (id)""")(A.learn_scores)
 query("edge_rank_callflow", """SELECT src, dst, relation, round(confidence_score + CASE confidence WHEN 'EXTRACTED' THEN 2 ELSE 0 END

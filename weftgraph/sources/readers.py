@@ -138,3 +138,40 @@ def google_shortcut(files: DataFrame) -> DataFrame:
 
 def node_id(*parts: str) -> str:
     return make_id(*parts)
+
+
+def cargo_workspace(files: DataFrame) -> Graph:
+    """Crates of ``Cargo.toml`` files (path, text) and the dependencies among them; renamed dependencies count by their crate."""
+
+    def run(batches):
+        import tomllib
+
+        for b in batches:
+            rows = []
+            for path, text in zip(b["path"], b["text"], strict=True):
+                try:
+                    data = tomllib.loads(text or "")
+                except tomllib.TOMLDecodeError:
+                    continue
+                package = data.get("package")
+                name = package.get("name") if isinstance(package, dict) else None
+                if not isinstance(name, str):
+                    continue
+                deps = data.get("dependencies")
+                for key, spec in (deps if isinstance(deps, dict) else {}).items():
+                    other = spec.get("package") if isinstance(spec, dict) else None
+                    rows.append((path, name, other if isinstance(other, str) and other else key))
+                rows.append((path, name, None))
+            yield pd.DataFrame(rows, columns=["path", "name", "dep"])
+
+    own = files.where("path RLIKE '(^|/)Cargo\\\\.toml$'").select("path", "text")
+    rows = own.mapInPandas(run, "path string, name string, dep string")
+    first = rows.groupBy("name").agg(F.min("path").alias("source_file"))
+    nodes = first.select(F.concat(F.lit("crate:"), F.col("name")).alias("id"), F.col("name").alias("label"), F.lit("code").alias("file_type"), "source_file", F.lit("L1").alias("source_location"))
+    known = first.select(F.col("name").alias("dep"))
+    linked = rows.join(known, "dep").select("name", "dep", F.col("path").alias("source_file")).distinct()
+    edges = linked.select(
+        F.concat(F.lit("crate:"), F.col("name")).alias("src"), F.concat(F.lit("crate:"), F.col("dep")).alias("dst"), F.lit("crate_depends_on").alias("relation"),
+        F.lit("cargo_dependency").alias("context"), F.lit("EXTRACTED").alias("confidence"), F.lit(1.0).alias("weight"), "source_file",
+    )
+    return Graph(nodes, edges)
