@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,17 +171,24 @@ def evidence(nodes: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def pack(files: DataFrame, budget: int) -> DataFrame:
-    """(path, chunk): files of a folder packed in order into chunks of at most ``budget`` tokens.
+    """(path, folder, chunk): files of a folder packed in order into chunks of at most ``budget`` tokens.
 
-    Greedy packing is a fold over a folder's files; a folder's names and sizes fit into one row.
+    Greedy packing goes through a folder's files in order; they stream through a task sorted, which
+    holds the open chunk's size only.
     """
-    folder = F.regexp_extract("path", r"^(.*)/", 1)
-    rows = files.select(folder.alias("folder"), F.struct("path", F.col("tokens").cast("bigint").alias("tokens")).alias("f")).groupBy("folder").agg(F.array_sort(F.collect_list("f")).alias("fs"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<path:string,chunk:int>>").alias("out"))
-
-    def step(acc: Column, f: Column) -> Column:
-        new = (acc["used"] > 0) & (acc["used"] + f["tokens"] > budget)
-        chunk = F.when(new, acc["chunk"] + 1).otherwise(acc["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(new, f["tokens"]).otherwise(acc["used"] + f["tokens"]).alias("used"), F.concat(acc["out"], F.array(F.struct(f["path"].alias("path"), chunk.alias("chunk")))).alias("out"))
 
-    return rows.select("folder", F.inline(F.aggregate("fs", start, step)["out"])).select("path", "folder", "chunk")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        folder, chunk, used = None, 0, 0
+        for b in batches:
+            chunks = []
+            for own, n in zip(b["folder"], b["tokens"], strict=True):
+                if own != folder:
+                    folder, chunk, used = own, 0, 0
+                if used and used + n > budget:
+                    chunk, used = chunk + 1, 0
+                used += n
+                chunks.append(chunk)
+            yield b[["path", "folder"]].assign(chunk=pd.Series(chunks, b.index, "int32"))
+
+    rows = files.select("path", F.regexp_extract("path", r"^(.*)/", 1).alias("folder"), F.col("tokens").cast("bigint").alias("tokens"))
+    return rows.repartition("folder").sortWithinPartitions("folder", "path").mapInPandas(run, "path string, folder string, chunk int")
