@@ -17,8 +17,8 @@ CREDENTIAL_NAMES = (
     r"(?i)^secring(\.(gpg|pgp))?$", r"(?i)(\.netrc|\.pgpass|\.htpasswd|\.npmrc|\.pypirc|\.git-credentials|\.boto)$",
 )
 CREDENTIAL_WORD = r"(?i)(?<![a-zA-Z0-9])((credential|secret|passwd|password|private_key)s?|tokens?|service[._-]?account)(?![a-zA-Z])"
-DATA_EXT = "json yaml yml toml ini cfg conf config xml properties env txt tfvars".split()
-PROSE_EXT = "md markdown rst org adoc tex".split()
+DATA_EXT = ("json", "yaml", "yml", "toml", "ini", "cfg", "conf", "config", "xml", "properties", "env", "txt", "tfvars")
+PROSE_EXT = ("md", "markdown", "rst", "org", "adoc", "tex")
 # Corpus sizes at which a scan warns.
 WARN_WORDS, LARGE_WORDS, LARGE_FILES = 50_000, 500_000, 500
 # Folders of tools and builds.
@@ -32,14 +32,14 @@ def word_count(text: Column) -> Column:
 def is_sensitive(path: Column) -> Column:
     """A credential store's folder, a credential's file name, or a telling word that names the contents."""
     name, folders = P.basename(path), F.transform(F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1), F.lower)
-    source = P.extension(path).isin(P.CODE_EXT) & ~P.extension(path).isin(DATA_EXT)
+    source = P.extension(path).isin(*P.CODE_EXT) & ~P.extension(path).isin(*DATA_EXT)
     held = F.exists(folders, lambda d: d.isin(*CREDENTIAL_DIRS)) | (F.exists(folders, lambda d: d.isin(*MAYBE_DIRS)) & ~source)
     template = F.lower(name).rlike(r"^\.(env|envrc)\..*\.?(example|sample|template|dist)$")
     named = F.lit(False)
     for rx in CREDENTIAL_NAMES:
         named = named | name.rlike(rx)
     stem = F.regexp_replace(F.regexp_replace(name, r"^\.+", ""), r"(?<=.)\.[^.]*$", "")
-    note = P.extension(path).isin(PROSE_EXT) & ~stem.rlike(f"^(?:{CREDENTIAL_WORD})$")
+    note = P.extension(path).isin(*PROSE_EXT) & ~stem.rlike(f"^(?:{CREDENTIAL_WORD})$")
     words = F.size(F.filter(F.split(stem, r"[-_\s.]+"), lambda w: w != ""))
     telling = stem.rlike(CREDENTIAL_WORD + "$") | (stem.rlike(CREDENTIAL_WORD) & (words <= 2))
     return held | (named & ~template) | (telling & ~source & ~note)
