@@ -21,7 +21,6 @@ input never clash with the five that ``mix`` adds, which take free names.
 
 from __future__ import annotations
 
-import re
 import warnings
 from dataclasses import dataclass
 
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.llm.common import discard, let, small, stage, unused
+from weftgraph.llm.common import BLANKS, discard, let, small, stage, unused
 
 SEED = 20_240_601
 #: Target marginals are the corpus's own shares to this power: below 1, large shares shrink.
@@ -40,47 +39,50 @@ ROUNDS, TOLERANCE = 40, 1e-6
 BROADCAST_ROWS = 100_000
 #: Topics and languages that have them, least letters of a keyword, and the shares of its language's documents between which its frequency lies.
 TOPICS, LANGS, LETTERS, RARE, COMMON = 12, 64, 5, 0.02, 0.3
-#: Classes of words that are counted first, so that only words of frequent classes are counted one by one.
-CLASSES = 1 << 16
+#: Rounds of raking in one plan, where the cells are few.
+UNROLL = 4
 
 
 def token_count(text: Column) -> Column:
-    """Words of a text, as its tokens."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
+    """Words of a text, as its tokens: what blanks part, without the empty ends."""
 
+    def counted(parts: Column) -> Column:
+        empty = lambda i: F.when(F.element_at(parts, i) == "", 1).otherwise(0)
+        return (F.size(parts) - empty(1) - F.when(F.size(parts) > 1, empty(-1)).otherwise(0)).cast("bigint")
 
-def _found(text: str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(rf"\p{{L}}{{{LETTERS},}}"), F.lit(0)))
+    return let(F.split(F.coalesce(text, F.lit("")), BLANKS), counted)
 
 
-def keywords(docs: DataFrame, text: str = "text", lang: str = "lang", topics: int = TOPICS, langs: int = LANGS) -> dict[str | None, list[tuple[str, float]]]:
-    """(word, inverse document frequency) of each language's topics, by frequency times its inverse over all its documents.
+def _found(text: Column, lang: Column) -> Column:
+    """Hashes, with the language, of the runs of letters long enough for a keyword, in lower case."""
+    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"\p{{L}}{{{LETTERS},}}+"), F.lit(0))
+    return F.transform(runs, lambda w: F.xxhash64(w, lang))
 
-    At most ``topics`` words of the ``langs`` most frequent languages. A word cannot be in more
-    documents than its class of words is, so words of rare classes are never counted one by one: what
-    is shuffled are numbers of classes, and a bounded set of words.
+
+def keywords(docs: DataFrame, text: str = "text", lang: str = "lang", topics: int = TOPICS, langs: int = LANGS) -> dict[str | None, list[tuple[int, float]]]:
+    """(hash of a word and its language, inverse document frequency) of each language's topics, by frequency times its inverse over all its documents.
+
+    At most ``topics`` words of the ``langs`` most frequent languages, ties by hash. Documents are
+    counted by a 64-bit hash in one pass, summed before the counts move: a task sends each word once, as
+    three numbers.
     """
-    of_class = lambda w: F.pmod(F.xxhash64(w), F.lit(CLASSES)).cast("int")
-    own = docs.select(F.col(lang).cast("string").alias("l"), _found(text).alias("ws"))
-    most = docs.groupBy(F.col(lang).cast("string").alias("m")).agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), F.asc_nulls_first("m")).limit(langs)
-    sizes = F.broadcast(stage(most.withColumn("least", F.greatest(F.lit(2.0), F.col("docs") * RARE))))
-    classes = own.select("l", F.explode(F.array_distinct(F.transform("ws", of_class))).alias("c")).groupBy("l", "c").agg(F.count(F.lit(1)).alias("n"))
-    often = stage(classes.join(sizes, F.col("l").eqNullSafe(F.col("m"))).where("n >= least").select("m", "c"))
-    same_class = F.col("l").eqNullSafe(F.col("m")) & (F.col("k") == F.col("c"))
-    words = own.select("l", F.explode("ws").alias("w")).withColumn("k", of_class(F.col("w")))
-    counts = words.join(small(often, BROADCAST_ROWS), same_class).groupBy("l", "w").agg(F.count(F.lit(1)).alias("n"))
-    ranged = counts.join(sizes, F.col("l").eqNullSafe(F.col("m"))).where((F.col("n") >= F.col("least")) & (F.col("n") <= COMMON * F.col("docs")))
+    name = F.col(lang).cast("string")
+    own = docs.select(F.xxhash64(name).alias("of"), F.array_distinct(_found(F.col(text), name)).alias("hs"))
+    most = docs.groupBy(name.alias("l")).agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), F.asc_nulls_first("l")).limit(langs)
+    sizes = F.broadcast(stage(most.withColumn("of", F.xxhash64("l"))))  # langs rows
+    counts = own.select("of", F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("of").alias("of")).where("n > 1")
+    share = F.col("n") / F.col("docs")
+    ranged = counts.join(sizes, "of").where((share >= RARE) & (share <= COMMON))
     told = ranged.withColumn("idf", F.log(F.col("docs") / F.col("n"))).withColumn("score", F.col("n") * F.col("idf"))
-    nth = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("score"), "w"))
-    out: dict[str | None, list[tuple[str, float]]] = {}
+    nth = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("score"), "h"))
+    out: dict[str | None, list[tuple[int, float]]] = {}
     for r in told.withColumn("nth", nth).where(F.col("nth") <= topics).orderBy("l", "nth").collect():  # topics * langs rows at most
-        out.setdefault(r["l"], []).append((r["w"], r["idf"]))
+        out.setdefault(r["l"], []).append((r["h"], r["idf"]))
     return out
 
 
-def _topic(text: Column, words: list[tuple[str, float]]) -> Column:
-    any_of = "|".join(re.escape(w) for w, _ in sorted(words, key=lambda x: -len(x[0])))
-    hits = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<!\p{{L}})(?:{any_of})(?!\p{{L}})"), F.lit(0))
+def _topic(text: Column, lang: Column, words: list[tuple[int, float]]) -> Column:
+    hits = F.filter(_found(text, lang), lambda h: h.isin([h for h, _ in words]))
 
     def best(found: Column) -> Column:
         count = lambda w: F.size(F.filter(found, lambda h: h == w))
@@ -90,11 +92,11 @@ def _topic(text: Column, words: list[tuple[str, float]]) -> Column:
     return let(hits, best)
 
 
-def topic(text: Column, lang: Column, words: dict[str | None, list[tuple[str, float]]]) -> Column:
+def topic(text: Column, lang: Column, words: dict[str | None, list[tuple[int, float]]]) -> Column:
     """``k1`` to ``kn``: the place of the keyword that marks a text most, of several the first; null if it has none."""
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, own in words.items():
-        out = out.when(lang.cast("string").eqNullSafe(F.lit(name).cast("string")), _topic(text, own))
+        out = out.when(lang.cast("string").eqNullSafe(F.lit(name).cast("string")), _topic(text, lang.cast("string"), own))
     return out
 
 
@@ -126,44 +128,65 @@ class Raked:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Raked:
     """Cells (dimensions, tokens) with ``w``: shares of tokens whose marginals are the targets.
 
-    A cell's weight is its tokens times a factor for each of its values, and only the factors change:
-    a step sums a dimension's marginal over the cells, before anything moves, and writes that
-    dimension's factors anew. No task holds all cells of a value.
+    Up to ``BROADCAST_ROWS`` cells are one partition, and a few rounds one plan of windows over it. More
+    are raked by factors: a cell's weight is its tokens times a factor for each of its values, a step
+    sums one dimension's marginal before anything moves and writes that dimension's factors anew.
     """
+    few = cells.count() <= BROADCAST_ROWS
     own = cells.where("tokens > 0")
-    own = stage(own.coalesce(1) if cells.count() <= BROADCAST_ROWS else own)
-    factors: dict[str, DataFrame] = {}
     for i, (d, t) in enumerate(targets.items()):
-        goal = t.select(F.col("value").alias(f"v{i}"), F.col("share").alias(f"to{i}"))
-        values = own.select(F.col(d).alias("x")).distinct().join(goal, F.col("x").eqNullSafe(F.col(f"v{i}")), "left")
-        factors[d] = stage(values.select(F.col("x").alias(f"v{i}"), F.coalesce(f"to{i}", F.lit(0.0)).alias(f"to{i}"), F.lit(1.0).alias(f"f{i}"), F.lit(0.0).alias("off")))
+        goal = small(stage(t.select(F.col("value").alias(f"v{i}"), F.col("share").alias(f"to{i}"))), BROADCAST_ROWS)
+        own = own.join(goal, F.col(d).eqNullSafe(F.col(f"v{i}")), "left").drop(f"v{i}").fillna(0.0, [f"to{i}"])
+    whole = own.agg(F.sum("tokens")).first()[0] or 1
+    own = stage((own.coalesce(1) if few else own).withColumn("w", F.col("tokens") / F.lit(float(whole))))
+    found, off, took = (_by_windows if few else _by_factors)(own, list(targets), rounds, tolerance)
+    return Raked(found.select(*cells.columns, "w"), off, took)
+
+
+def _by_windows(own: DataFrame, dims: list[str], rounds: int, tolerance: float) -> tuple[DataFrame, float, int]:
+    over = [Window.partitionBy(d) for d in dims]
+    off, took = 0.0, 0
+    while took < rounds:
+        now = own.coalesce(1)
+        for _ in range(min(UNROLL, rounds - took)):
+            took += 1
+            for i, o in enumerate(over):
+                have = F.sum("w").over(o)
+                now = now.withColumn("w", F.when(have > 0, F.col("w") * F.col(f"to{i}") / have).otherwise(0.0))
+        was, own = own, stage(now.coalesce(1))
+        discard(was)
+        apart = F.greatest(F.lit(0.0), *[F.abs(F.sum("w").over(o) - F.col(f"to{i}")) for i, o in enumerate(over)])
+        off = own.coalesce(1).select(apart.alias("off")).agg(F.max("off")).first()[0] or 0.0
+        if off <= tolerance:
+            break
+    return own, off, took
 
-    few = {d: f.count() <= BROADCAST_ROWS for d, f in factors.items()}
+
+def _by_factors(own: DataFrame, dims: list[str], rounds: int, tolerance: float) -> tuple[DataFrame, float, int]:
+    factors = [stage(own.groupBy(F.col(d).alias(f"v{i}")).agg(F.first(f"to{i}").alias("to"), F.lit(1.0).alias(f"f{i}"), F.lit(0.0).alias("off"))) for i, d in enumerate(dims)]
+    short = [f.count() <= BROADCAST_ROWS for f in factors]
 
     def weighed() -> DataFrame:
-        out = own.withColumn("w", F.col("tokens").cast("double"))
-        for i, d in enumerate(factors):
-            f = factors[d].drop("off")
-            f = F.broadcast(f) if few[d] else f
-            out = out.join(f, F.col(d).eqNullSafe(F.col(f"v{i}"))).withColumn("w", F.col("w") * F.col(f"f{i}")).drop(f"f{i}")
+        out = own
+        for i, d in enumerate(dims):
+            f = factors[i].select(f"v{i}", f"f{i}")
+            out = out.join(F.broadcast(f) if short[i] else f, F.col(d).eqNullSafe(F.col(f"v{i}"))).withColumn("w", F.col("w") * F.col(f"f{i}")).drop(f"f{i}")
         return out
 
     off, took = 0.0, 0
-    whole = own.agg(F.sum("tokens")).first()[0] or 1
-    for took in range(1, rounds + 1):
-        off = 0.0
-        for i, d in enumerate(targets):
-            have = weighed().groupBy(f"v{i}").agg((F.sum("w") / whole).alias("have"))
-            was, both = factors[d], F.col(f"v{i}").eqNullSafe(F.col("v"))
-            met = was.drop("off").join(have.withColumnRenamed(f"v{i}", "v"), both, "left")
-            changed = F.when(F.col("have") > 0, F.col(f"f{i}") * F.col(f"to{i}") / F.col("have")).otherwise(0.0)
-            new = met.select(f"v{i}", f"to{i}", changed.alias(f"f{i}"), F.abs(F.coalesce("have", F.lit(0.0)) - F.col(f"to{i}")).alias("off"))
-            factors[d] = stage(new.coalesce(1))
-            off = max(off, factors[d].agg(F.max("off")).first()[0] or 0.0)
+    while took < rounds:
+        took, off = took + 1, 0.0
+        for i in range(len(dims)):
+            have = weighed().groupBy(F.col(f"v{i}").alias("v")).agg(F.sum("w").alias("have"))
+            was = factors[i]
+            met = was.drop("off").join(have, F.col(f"v{i}").eqNullSafe(F.col("v")), "left")
+            changed = F.when(F.col("have") > 0, F.col(f"f{i}") * F.col("to") / F.col("have")).otherwise(0.0)
+            factors[i] = stage(met.select(f"v{i}", "to", changed.alias(f"f{i}"), F.abs(F.coalesce("have", F.lit(0.0)) - F.col("to")).alias("off")))
+            off = max(off, factors[i].agg(F.max("off")).first()[0] or 0.0)
             discard(was)
         if off <= tolerance:
             break
-    return Raked(weighed().select(*cells.columns, (F.col("w") / whole).alias("w")), off, took)
+    return weighed(), off, took
 
 
 def scale(cells: DataFrame, keep: float) -> float:
@@ -195,7 +218,7 @@ def mix(
     cells = stage(docs.select(*[x.cast("string").alias(plain[d]) for d, x in dims.items()], tokens.alias("tokens")).groupBy(*plain.values()).agg(F.sum("tokens").alias("tokens")))
     goals = {plain[d]: targets[d] if targets else tempered_targets(cells, plain[d]) for d in dims}
     raked = rake(cells, goals, rounds)
-    fitted = stage(raked.cells)
+    fitted = raked.cells
     if raked.off > TOLERANCE:
         said = f"marginals are off by {raked.off:.3g} after {raked.rounds} rounds"
         if strict:
