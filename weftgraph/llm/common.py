@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.session import discard, shared_dir, small
+from weftgraph.session import written as stage
+
+__all__ = ["discard", "let", "prefix_sums", "shared_dir", "small", "stage", "table", "total", "unused", "window_hashes", "words"]
+
 #: Separators between words: blank and the five ASCII control blanks.
 BLANKS = r"[\x20\x09-\x0D]+"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -51,14 +54,6 @@ def unused(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, marked for broadcast only if it has at most so many rows; else joins shuffle it.
-
-    ``df`` should be staged, as its rows are counted.
-    """
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, v: a + v)
 
@@ -93,55 +88,3 @@ def prefix_sums(values: Column, block: int = 256) -> Column:
         return F.when(F.size(v) > 0, let(blocks, inner)).otherwise(F.array().cast("array<bigint>"))
 
     return let(values, run)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the session names none, a local session gets a temporary folder of its own; a cluster
-    has no folder that is safe to guess, so that is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='weftgraph-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def _folder(spark: SparkSession) -> str:
-    """The application's own folder in the shared one; Hadoop deletes it when the driver ends."""
-    folder = f"{shared_dir(spark)}/weftgraph/{spark.sparkContext.applicationId}"
-    if folder not in _owned:
-        _owned.add(folder)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-    return folder
-
-
-_owned: set[str] = set()
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
-
-    Cuts lineage: later jobs start from files that outlive any executor, and the optimizer knows
-    their size. The files go when the driver ends, or with ``discard``.
-    """
-    spark = df.sparkSession
-    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    staged = spark.read.schema(df.schema).parquet(path)
-    staged._staged_at = path
-    return staged
-
-
-def discard(staged: DataFrame) -> None:
-    """Delete the files of a staged table that nothing will read any more."""
-    spark = staged.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(staged._staged_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

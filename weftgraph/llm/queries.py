@@ -121,8 +121,8 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
     """,
     "quality_ablation": _LEDGER + """,
-        r AS (SELECT unnest(['min_words', 'repeated_windows', 'symbols', 'dup_lines', 'word_length', 'upper_case']) AS rule, unnest([1, 2, 4, 8, 16, 32]) AS bit)
-        SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_failed_alone, count(*) FILTER (fail_bits & ~bit::BIGINT = 0) AS n_kept_without FROM f, r GROUP BY 1
+        rules AS (SELECT unnest(['min_words', 'repeated_windows', 'symbols', 'dup_lines', 'word_length', 'upper_case']) AS rule, unnest([1, 2, 4, 8, 16, 32]) AS bit)
+        SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_failed_alone, count(*) FILTER (fail_bits & ~bit::BIGINT = 0) AS n_kept_without FROM f, rules GROUP BY 1
     """,
     "op6_substring_dedup": rf"""
         WITH d AS (SELECT doc_id, {_WORDS} w FROM documents),
