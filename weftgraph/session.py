@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
+#: Rows of an Arrow batch, where the session has Spark's own number: texts are long, and a batch is held by JVM and worker.
+BATCH, _BATCH_KEY, _SPARKS_BATCH = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Let workers find the package: by its folder on one machine, as a zip on a cluster. Once for each application."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH_KEY, _SPARKS_BATCH) == _SPARKS_BATCH:
+        spark.conf.set(_BATCH_KEY, str(BATCH))
     if sc.applicationId in _shipped:
         return spark
     if sc.master.startswith("local"):
