@@ -112,3 +112,47 @@ def test_odd_rows(spark):
     got = near_copies.deduplicate(df)
     assert got.columns == df.columns
     assert sorted((r["doc_id"] or 0) for r in got.collect()) == [0, 0, 1, 3, 5]
+
+
+def test_no_pair_at_the_bound_is_left_out(spark):
+    """Pairs of a similarity of four fifths exactly, of 45, 180 and 720 shingles: one part or many."""
+    rng = random.Random(17)
+    word = lambda: f"q{rng.randrange(10**9)}"
+    rows = []
+    for edits, pairs in ((1, 400), (4, 300), (16, 30)):
+        for _ in range(pairs):
+            ws = [word() for _ in range(45 * edits + 4)]
+            other = list(ws)
+            for i in range(edits):
+                other[45 * i + 20] = word()
+            rows += [(len(rows), " ".join(ws)), (len(rows) + 1, " ".join(other))]
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k - k % 2 for k, _ in rows}
+
+
+def test_keys_of_every_pair_meet():
+    """Random sets about the bound, parts of unequal size and any order: a shared key whose parities pass."""
+    rng = np.random.default_rng(19)
+    pairs = 0
+    for trial in range(1500):
+        x = np.unique(rng.integers(0, 1 << 63, rng.choice([7, 40, 110, 400, 1700]) + rng.integers(30), np.uint64) << np.uint64(1) >> np.uint64(rng.integers(8)))
+        gone = rng.integers(x.size // 5 + 1)
+        left = np.delete(x, rng.choice(x.size, gone, replace=False))
+        y = np.unique(np.r_[left, rng.integers(0, 1 << 63, max(0, 5 * left.size // 4 - x.size), np.uint64)])
+        if 9 * np.intersect1d(x, y).size < 4 * (x.size + y.size):
+            continue
+        pairs += 1
+        often = np.unique(rng.choice(x, x.size // 2 * (trial % 2), replace=False))
+        common = (often, rng.integers(4, 50, often.size))
+        one, two = (dict(zip(g.tolist(), p, strict=True)) for g, p in (near_copies.first_keys(z, common) for z in (x, y)))
+        assert any(np.bitwise_count(one[g] ^ two[g]).sum() <= near_copies._by_part(g, x.size + y.size) for g in one.keys() & two.keys())
+    assert pairs > 1000
+
+
+def test_links_between_two_trees_of_a_large_group(spark):
+    """Windows of 100 numbers at steps of 10: 0 reaches 2 and 1 reaches 3 first, and only 2 and 3 link them."""
+    rows = [(0, i, 100, list(range(at, at + 100))) for i, at in ((0, 0), (2, 10), (3, 20), (1, 30))]
+    df = spark.createDataFrame(rows, "g bigint, id bigint, n int, hs array<bigint>")
+    for most in (2, 3, 10):
+        label = {r["node"]: r["label"] for r in components(near_copies.exact_links(df, most)).collect()}
+        assert label == dict.fromkeys(range(4), 0)
