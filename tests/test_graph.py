@@ -361,3 +361,20 @@ def test_entropy(spark):
     assert [r[0] for r in df.select(X.entropy(F.col("s"))).collect()] == [1.0, 0.0, 2.0]
     vec = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0], [0.0]), ([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
     assert [round(r[0], 3) for r in vec.select(X.cosine(F.col("a"), F.col("b"))).collect()] == [round(math.sqrt(0.5), 3), 0, 0]
+
+
+def test_components_by_contraction(spark, monkeypatch):
+    """Rounds on executors, samples and parts outside the largest one, against plain union-find."""
+    monkeypatch.setattr(T, "DRIVER_LINKS", 30)
+    rng = random.Random(8)
+    names = [f"v{i:03d}" for i in range(120)]
+    dense = [(a, b) for i, a in enumerate(names[:40]) for b in names[i + 1 : 40] if rng.random() < 0.4]
+    chain = list(zip(names[40:80], names[41:81]))
+    for edges in (chain, dense + chain, dense * 3 + [(a, b) for i, a in enumerate(names[50:70], 50) for b in names[i + 1 : 70]] + chain[:5]):
+        rng.shuffle(edges)
+        root = {n: n for n in names}
+        for _ in names:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        got = T.connected_components(spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame(edges, "src string, dst string"))
+        assert dict(values(got, "id", "component")) == root
