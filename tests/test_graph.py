@@ -378,3 +378,34 @@ def test_components_by_contraction(spark, monkeypatch):
                 root[a] = root[b] = min(root[a], root[b])
         got = T.connected_components(spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame(edges, "src string, dst string"))
         assert dict(values(got, "id", "component")) == root
+
+
+def test_calls_against_all_pairs(spark):
+    """Random calls and definitions, unknown files, tests, languages and callers that define the name, against every pair."""
+    rng = random.Random(5)
+    paths = [None, "a/x.py", "a/b/x.py", "a/b/y.py", "a/b/y.py/z.py", "tests/x.py", "a/tests/t.py", "a/b/w.go", "c/v.txt", "a", ""]
+    nodes = [(f"d{i}", rng.choice(["run()", ".go", "stop"]), rng.choice(paths)) for i in range(26)]
+    nodes += [("e1", "only", "a/x.py"), ("e2", "only", "a/x.py"), ("e3", "pair", None), ("e4", "pair", "a/x.py"), ("e4", "pair", "a/x.py")]
+    calls = [(rng.choice([f"d{rng.randrange(26)}", "c1", "c2", "c3", "e1", "e4"]), rng.choice(["run", "go", "stop", "only", "pair", "none"]), rng.choice(paths)) for _ in range(400)]
+    family = lambda f: {"py": "py", "go": "go"}.get(f.rsplit("/", 1)[-1].rpartition(".")[2]) if f and "." in f else None
+    test = lambda f: bool(f) and "tests/" in f
+    strip = lambda x: x.removeprefix(".").removesuffix("()")
+
+    def near(f, g):
+        x, y = f.split("/"), g.split("/")
+        return next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+    ranks = {}
+    for caller, callee, f in calls:
+        for target, label, g in nodes:
+            if strip(label) == callee and target != caller and (family(f) is None or family(g) is None or family(f) == family(g)):
+                rank = (test(f) != test(g), -99, False) if f is None or g is None else (test(f) != test(g), -near(f, g), f != g)
+                ranks.setdefault((caller, callee), []).append((rank, target))
+    want = set()
+    for (caller, _), found in ranks.items():
+        first = [t for r, t in found if r == min(found)[0]]
+        if len(first) == 1:
+            want.add((caller, first[0], "INFERRED" if min(found)[0][2] else "EXTRACTED"))
+    made = spark.createDataFrame(nodes, "id string, label string, source_file string")
+    got = {tuple(r) for r in B.resolve_calls(spark.createDataFrame(calls, "caller string, callee string, source_file string"), made).collect()}
+    assert got == want and len(want) > 5
