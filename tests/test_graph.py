@@ -409,3 +409,18 @@ def test_calls_against_all_pairs(spark):
     made = spark.createDataFrame(nodes, "id string, label string, source_file string")
     got = {tuple(r) for r in B.resolve_calls(spark.createDataFrame(calls, "caller string, callee string, source_file string"), made).collect()}
     assert got == want and len(want) > 5
+
+
+def test_pairs_by_cells(spark):
+    """All pairs of a key at any size of a cell, more tasks than one for a large key, none for a key of one side or null."""
+    a = spark.createDataFrame([(i, [0, 0, 0, 1, 2, None][i % 6]) for i in range(60)], "x int, k int")
+    b = spark.createDataFrame([(i, [0, 0, 1, 3, None][i % 5]) for i in range(40)], "y int, k int")
+    want = sorted((x, y) for x, k in values(a.na.fill(-1), "x", "k") for y, j in values(b.na.fill(-1), "y", "k") if k == j >= 0)
+    for cell in (8_000_000, 50, 1):
+        met = E.paired(a, b, "k", cell)
+        assert values(met, "x", "y") == want
+    assert E.paired(a, b, "k", 50).select(F.spark_partition_id()).distinct().count() > 2
+    labels = ["A#007", "a#7", "b", None, "7,1", "71", "0"]
+    both = spark.createDataFrame([(x, y) for x in labels for y in labels], "x string, y string")
+    low, high = F.lower("x"), F.lower("y")
+    assert both.where(~E.numeric_veto(low, high).eqNullSafe(E.number_key(low) != E.number_key(high))).count() == 0
