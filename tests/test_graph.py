@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from itertools import permutations
 
 import pytest
@@ -424,3 +425,62 @@ def test_pairs_by_cells(spark):
     both = spark.createDataFrame([(x, y) for x in labels for y in labels], "x string, y string")
     low, high = F.lower("x"), F.lower("y")
     assert both.where(~E.numeric_veto(low, high).eqNullSafe(E.number_key(low) != E.number_key(high))).count() == 0
+
+
+def test_least_of_the_shortest_paths(spark):
+    """Levels from both ends, at every bound of a broadcast, against every shortest path in plain Python."""
+    rng = random.Random(12)
+    names = [f"p{i:02d}" for i in range(40)]
+    edges = sorted({tuple(rng.sample(names, 2)) for _ in range(58)})
+    g = graph(spark, names, edges)
+    for s, t, directed in [("p00", "p31", True), ("p00", "p31", False), ("p05", "p05", False), ("p17", "p02", False), ("p09", "p22", True), ("nope", "p01", False)]:
+        near = {n: sorted({b for a, b in edges if a == n} | (set() if directed else {a for a, b in edges if b == n})) for n in names}
+        best, seen = {s: [s]} if s in names else {}, {s}
+        front = dict(best)
+        while front and t not in best:
+            new = {}
+            for n, path in front.items():
+                for x in near[n]:
+                    if x not in seen:
+                        new[x] = min(new.get(x, [*path, x]), [*path, x])
+            seen |= set(new)
+            best |= new
+            front = new
+        assert T.shortest_path(g, s, t, directed) == best.get(t, []), (s, t, directed)
+        if best.get(t) and len(best[t]) > 2:
+            assert T.shortest_path(g, s, t, directed, len(best[t]) - 2) == []
+
+
+def test_collapsed_edges_keep_their_columns(spark):
+    """The kept edge of a pair comes whole, through one exchange of the edges."""
+    rows = [("a", "b", "uses", 0.5), ("b", "a", "calls", 0.7), ("a", "b", "uses", 0.9), ("c", "c", "calls", 1.0), ("a", "b", "uses", 0.5)]
+    e = spark.createDataFrame(rows, "src string, dst string, relation string, weight double")
+    kept = B.keep_collapsed(e)
+    assert values(kept, "src", "dst", "relation", "weight") == [("b", "a", "calls", 0.7), ("c", "c", "calls", 1.0)]
+    assert kept._jdf.queryExecution().sparkPlan().toString().count("RepartitionByExpression") + kept._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert "Join" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_jaro_of_long_labels():
+    """Jaro as its definition says, and in a time that grows with the length of the labels and not with its square."""
+
+    def plain(a, b):
+        reach, free, hits = max(max(len(a), len(b)) // 2 - 1, 0), [True] * len(b), []
+        for i, c in enumerate(a):
+            for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+                if free[j] and b[j] == c:
+                    free[j] = False
+                    hits.append(c)
+                    break
+        other = [c for c, f in zip(b, free) if not f]
+        m = len(hits)
+        return (m / len(a) + m / len(b) + (m - sum(x != y for x, y in zip(hits, other)) // 2) / m) / 3 if m else 0.0
+
+    rng = random.Random(4)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 14))) for _ in "ab")
+        assert a == b or X.jaro(a, b) == plain(a, b)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(12_000)]
+    began = time.process_time()
+    assert 0.9 < X.jaro(" ".join(words), " ".join(words[:6000] + ["more"] + words[6000:])) <= 1
+    assert time.process_time() - began < 5
